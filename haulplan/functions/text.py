@@ -15,16 +15,28 @@ def two_decimals(value: Column) -> Column:
     return F.format_string("%.2f", round_half_even(value, 2))
 
 
+def _two_decimals_of(size: Column, power: int) -> Column:
+    """``size / 1024**power`` with two decimals, a tie going to the even digit.
+
+    In whole numbers: hundredths of the remainder, rounded by adding just less
+    than a half, or a half if the digit below is odd.
+    """
+    shift = 10 * power
+    hundredths = size.bitwiseAND(F.lit(2**shift - 1)) * 100
+    odd = F.shiftright(hundredths, shift).bitwiseAND(F.lit(1))
+    rounded = F.shiftright(hundredths + (2 ** (shift - 1) - 1) + odd, shift)
+    return F.format_string("%.2f", (F.shiftright(size, shift) * 100 + rounded) / 100.0)
+
+
 def human_bytes(size: Column) -> Column:
     """``512 B``, ``1.50 KiB``, ... ``2048.00 PiB``."""
-    number = size.cast("double")
-    divisor, unit = F.lit(float(1024**5)), F.lit(BYTE_UNITS[5])
-    for power in range(4, -1, -1):
-        within = number < float(1024 ** (power + 1))
-        divisor = F.when(within, float(1024**power)).otherwise(divisor)
-        unit = F.when(within, BYTE_UNITS[power]).otherwise(unit)
-    scaled = F.concat(two_decimals(number / divisor), F.lit(" "), unit)
-    return F.when(number < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(scaled)
+    size = size.cast("bigint")
+    text = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for power, unit in enumerate(BYTE_UNITS[1:], start=1):
+        scaled = F.concat(_two_decimals_of(size, power), F.lit(f" {unit}"))
+        is_last = unit == BYTE_UNITS[-1]
+        text = text.otherwise(scaled) if is_last else text.when(size < 1024 ** (power + 1), scaled)
+    return text
 
 
 def human_seconds(seconds: Column) -> Column:

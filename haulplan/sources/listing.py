@@ -20,6 +20,23 @@ MAX_ARRAY_BYTES = 64 * 1024**2
 PART_SHIFT = 31
 
 
+#: Mark put behind a text before it is parsed.
+END_MARK = "~end of text~"
+
+
+def with_json(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the VARIANT of a JSON text; null when the whole text is not one JSON value.
+
+    Spark's parser stops behind the first value and would pass over anything
+    that follows.  The text is therefore read as the first element of an array
+    that ends with a mark, and counts only if the mark is the second element.
+    """
+    framed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f',"{END_MARK}"]')))
+    marked = F.try_variant_get("_framed", "$[1]", "string") == END_MARK
+    value = F.when(marked, F.try_variant_get("_framed", "$[0]", "variant"))
+    return rows.withColumn("_framed", framed).withColumn(name, value).drop("_framed")
+
+
 def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT<")
 
@@ -60,17 +77,20 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str], max_bytes: int
     """Files that each hold one JSON array; anything else in a file is an error."""
     names = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("part"))
     texts = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("part"), F.parse_json(_checked_text(max_bytes)).alias("array")
+        F.col("_metadata.file_path").alias("part"), _checked_text(max_bytes).alias("text")
     )
+    parsed = with_json(texts, "text", "array").drop("text")
     refused = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("part"))).cast("variant")
-    arrays = texts.withColumn("array", F.when(is_array(F.col("array")), F.col("array")).otherwise(refused))
+    arrays = parsed.withColumn("array", F.when(is_array(F.col("array")), F.col("array")).otherwise(refused))
     return explode_arrays(arrays.join(_numbered(names), "part").drop("part"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parse the column ``value``; blank lines are skipped, bad JSON fails, non-objects are dropped."""
-    parsed = lines.where(F.trim("value") != "").withColumn("object", F.parse_json("value")).drop("value")
-    return parsed.where(is_object(F.col("object")))
+    parsed = with_json(lines.where(F.trim("value") != ""), "value", "object")
+    refused = F.raise_error(F.concat(F.lit("not JSON: "), F.col("value"))).cast("variant")
+    strict = parsed.withColumn("object", F.coalesce("object", refused)).drop("value")
+    return strict.where(is_object(F.col("object")))
 
 
 def order_lines(lines: DataFrame) -> DataFrame:
@@ -179,7 +199,7 @@ def split_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A part that is no JSON, or no array, is left out and reported.
     """
-    parsed = parts.withColumn("array", F.try_parse_json("text"))
+    parsed = with_json(parts, "text", "array")
     good = parsed.where(is_array(F.col("array"))).drop("text")
     reason = F.when(F.col("array").isNull(), "not JSON").otherwise("not a JSON array")
     rejected = parsed.where(~is_array(F.col("array"))).select("part", reason.alias("reason"))
