@@ -217,7 +217,7 @@ def a10_shard_plan(spark, sf_dir):
     )
     settings = F.array(setting(4, 64, None, 10), setting(4, 64, 40, 10), setting(8, 2, None, 20), setting(4, 64, 200, 10**4))
     cases = datasets.select("*", F.explode(settings).alias("setting")).select("dataset", "total_bytes", "setting.*")
-    planned = advise.shard_plan(cases, F.col("cpus"), F.col("tasks"), F.col("cores"), F.col("cap"))
+    planned = advise.shard_plan(cases, "cpus", "tasks", "cores", "cap")
     return planned.select(
         "dataset", "cpus", "tasks", "cores", "cap", "num_shards", "reasoning", F.col("assumptions.total_bytes").alias("total_bytes")
     )
@@ -357,21 +357,21 @@ def duplicate_paths(spark, sf_dir):
 @query
 def c1_human_bytes(spark, sf_dir):
     rows = inputs.sized(spark, sf_dir, "orders")
-    texts = {f"bytes_{power}": human_bytes(F.expr(f"cast(size * pow(2, {power}) AS bigint)")) for power in (-20, -10, 0, 10, 20)}
-    return rows.select("seq", *[text.alias(name) for name, text in texts.items()])
+    powers = (-20, -10, 0, 10, 20)
+    scaled = rows.selectExpr("seq", *[f"cast(size * pow(2, {power}) AS bigint) AS `bytes_{power}`" for power in powers])
+    return scaled.select("seq", *[human_bytes(f"`bytes_{power}`").alias(f"bytes_{power}") for power in powers])
 
 
 @query
 def c2_human_seconds(spark, sf_dir):
-    rows = inputs.table(spark, sf_dir, "orders")
-    seconds = F.col("o_totalprice")
-    return rows.select(
-        F.col("o_orderkey").alias("seq"),
-        human_seconds(seconds).alias("long_time"),
-        human_seconds(seconds / 3600.0).alias("short_time"),
-        human_seconds(F.rint(seconds / 100.0) * 60.0).alias("whole_minutes"),
-        human_seconds(-seconds).alias("undefined_time"),
-    )
+    times = {
+        "long_time": "o_totalprice",
+        "short_time": "o_totalprice / 3600D",
+        "whole_minutes": "rint(o_totalprice / 100D) * 60D",
+        "undefined_time": "-o_totalprice",
+    }
+    rows = inputs.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS seq", *[f"{value} AS {name}" for name, value in times.items()])
+    return rows.select("seq", *[human_seconds(name).alias(name) for name in times])
 
 
 @query
@@ -383,11 +383,8 @@ def c3_rates(spark, sf_dir):
 
 @query
 def c4_human_rates(spark, sf_dir):
-    rows = inputs.table(spark, sf_dir, "orders")
-    rate = F.col("o_totalprice") * 12345.0
-    return rows.select(
-        F.col("o_orderkey").alias("seq"), human_rate(rate).alias("gbps"), human_rate(rate, "MBps").alias("mb_s")
-    )
+    rows = inputs.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS seq", "o_totalprice * 12345D AS rate")
+    return rows.select("seq", human_rate("rate").alias("gbps"), human_rate("rate", "MBps").alias("mb_s"))
 
 
 def _estimate(spark, sf_dir, **options):

@@ -1,4 +1,4 @@
-"""Exact numeric column expressions."""
+"""Exact numeric expressions, as SQL text over a column name or expression."""
 
 from __future__ import annotations
 
@@ -9,48 +9,31 @@ from pyspark.sql import functions as F
 COARSE_BITS = 12
 
 
-def floor_log2(value: Column) -> Column:
+def floor_log2(value: str) -> str:
     """Exponent of the highest set bit; values below 1 count as 1."""
-    return F.length(F.bin(F.greatest(value, F.lit(1).cast("bigint")))) - 1
+    return f"(length(bin(greatest({value}, 1L))) - 1)"
 
 
-def ceil_log2(value: Column) -> Column:
+def ceil_log2(value: str) -> str:
     """Smallest e with ``2**e >= value``; 0 for values below 2."""
-    return F.when(value >= 2, F.length(F.bin(value - 1))).otherwise(0)
+    return f"(CASE WHEN {value} >= 2 THEN length(bin({value} - 1)) ELSE 0 END)"
 
 
-def power_of_two(exponent: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
-
-
-def coarse_size(value: Column, bits: int = COARSE_BITS) -> Column:
+def coarse_size(value: str, bits: int = COARSE_BITS) -> Column:
     """``value`` with only its leading ``bits + 1`` bits kept.
 
     Monotone in ``value`` and exact below ``2**(bits + 1)``, so it splits sizes
     into at most ``2**bits`` ordered buckets per power of two.
     """
-    magnitude = F.abs(value)
-    shift = F.greatest(floor_log2(magnitude) - bits, F.lit(0))
-    kept = F.call_function("shiftleft", F.call_function("shiftright", magnitude, shift), shift)
-    return F.when(value < 0, -kept).otherwise(kept)
+    shift = f"greatest(length(bin(abs({value}))) - {bits + 1}, 0)"
+    kept = f"shiftleft(shiftright(abs({value}), {shift}), {shift})"
+    return F.expr(f"CASE WHEN {value} < 0 THEN -{kept} ELSE {kept} END")
 
 
-def round_half_even(value: Column, digits: int) -> Column:
-    """Round a non-negative double to ``digits`` (0, 1 or 2) decimals by its binary value.
+def round_half_even(value: str, digits: int) -> Column:
+    """Round a double to ``digits`` decimals by its binary value, a true tie going to the even digit.
 
-    ``round`` and ``bround`` work on the shortest decimal text of a double and
-    move values that only look like a tie.  Here the fraction is split in two
-    halves, so that its product with 10 or 100 is formed without rounding.
+    ``round`` and ``bround`` start from the shortest decimal text of a double and
+    so move values that only look like a tie; number patterns do not.
     """
-    if digits == 0:
-        return F.rint(value)
-    scale = float(10**digits)
-    half_word = float(2**26)
-    fraction = value % F.lit(1.0)
-    high = F.floor(fraction * half_word) / half_word
-    low = (fraction - high) * scale
-    steps = F.floor(high * scale + low)
-    beyond_half = (high * scale - steps - 0.5) + low
-    up = (beyond_half > 0) | ((beyond_half == 0) & (steps % 2 == 1))
-    rounded = steps + F.when(up, 1).otherwise(0)
-    return ((value - fraction) * scale + rounded) / scale
+    return F.expr(f"cast(format_number({value}, '0.{'0' * digits}') AS double)")

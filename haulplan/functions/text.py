@@ -1,78 +1,54 @@
-"""Readable texts for sizes, times, rates and size ranges."""
+"""Readable texts for sizes, times, rates and size ranges, over a column name or SQL expression."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from haulplan.functions.numbers import round_half_even
-
 # Units of the size texts.
 BYTE_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
 
 
-def two_decimals(value: Column) -> Column:
-    return F.format_string("%.2f", round_half_even(value, 2))
-
-
-def _two_decimals_of(size: Column, power: int) -> Column:
-    """``size / 1024**power`` with two decimals, a tie going to the even digit.
-
-    In whole numbers: hundredths of the remainder, rounded by adding just less
-    than a half, or a half if the digit below is odd.
-    """
-    shift = 10 * power
-    hundredths = size.bitwiseAND(F.lit(2**shift - 1)) * 100
-    odd = F.shiftright(hundredths, shift).bitwiseAND(F.lit(1))
-    rounded = F.shiftright(hundredths + (2 ** (shift - 1) - 1) + odd, shift)
-    return F.format_string("%.2f", (F.shiftright(size, shift) * 100 + rounded) / 100.0)
+def _bytes_text(size: str) -> str:
+    scaled = [f"concat(format_number({size} / {1024**power}D, '0.00'), ' {unit}')" for power, unit in enumerate(BYTE_UNITS)]
+    steps = " ".join(f"WHEN {size} < {1024 ** (power + 1)}L THEN {scaled[power]}" for power in range(1, 5))
+    return f"CASE WHEN {size} < 1024 THEN concat({size}, ' B') {steps} ELSE {scaled[5]} END"
 
 
-def human_bytes(size: Column) -> Column:
+def human_bytes(size: str) -> Column:
     """``512 B``, ``1.50 KiB``, ... ``2048.00 PiB``."""
-    size = size.cast("bigint")
-    text = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-    for power, unit in enumerate(BYTE_UNITS[1:], start=1):
-        scaled = F.concat(_two_decimals_of(size, power), F.lit(f" {unit}"))
-        is_last = unit == BYTE_UNITS[-1]
-        text = text.otherwise(scaled) if is_last else text.when(size < 1024 ** (power + 1), scaled)
-    return text
+    return F.expr(_bytes_text(size))
 
 
-def human_seconds(seconds: Column) -> Column:
+def human_seconds(seconds: str) -> Column:
     """``2d 3h 0m 5s``; leading units that are zero are left out; ``n/a`` if undefined."""
-    total = F.rint(seconds).try_cast("bigint")
-    days, hours = F.floor(total / 86400), F.floor(total % 86400 / 3600)
-    minutes, rest = F.floor(total % 3600 / 60), total % 60
-    show_hours = (hours > 0) | ((days > 0) & ((minutes > 0) | (rest > 0)))
-    show_minutes = (minutes > 0) | (((days > 0) | (hours > 0)) & (rest > 0))
-    text = F.concat_ws(
-        " ",
-        F.when(days > 0, F.concat(days.cast("string"), F.lit("d"))),
-        F.when(show_hours, F.concat(hours.cast("string"), F.lit("h"))),
-        F.when(show_minutes, F.concat(minutes.cast("string"), F.lit("m"))),
-        F.concat(rest.cast("string"), F.lit("s")),
+    total = f"cast(rint({seconds}) AS bigint)"
+    days, hours, minutes, rest = f"({total} div 86400)", f"({total} % 86400 div 3600)", f"({total} % 3600 div 60)", f"({total} % 60)"
+    return F.expr(
+        f"""CASE WHEN {seconds} >= 0 AND {seconds} < {2**63}D THEN concat_ws(' ',
+          CASE WHEN {days} > 0 THEN concat({days}, 'd') END,
+          CASE WHEN {hours} > 0 OR ({days} > 0 AND {total} % 3600 > 0) THEN concat({hours}, 'h') END,
+          CASE WHEN {minutes} > 0 OR ({total} >= 3600 AND {rest} > 0) THEN concat({minutes}, 'm') END,
+          concat({rest}, 's')) ELSE 'n/a' END"""
     )
-    defined = (seconds >= 0) & (seconds < float(2**63)) & ~F.isnan(seconds)
-    return F.when(defined, text).otherwise("n/a")
 
 
-def human_rate(bytes_per_second: Column, prefer_units: str = "Gbps") -> Column:
+def human_rate(bytes_per_second: str, prefer_units: str = "Gbps") -> Column:
     """``9.50 Gbps`` (bits) or, with ``prefer_units='MBps'``, ``1187.50 MB/s``."""
     if prefer_units.lower().startswith("g"):
-        return F.concat(two_decimals(bytes_per_second * 8.0 / 1e9), F.lit(" Gbps"))
-    return F.concat(two_decimals(bytes_per_second / 1e6), F.lit(" MB/s"))
+        return F.expr(f"concat(format_number({bytes_per_second} * 8D / 1e9D, '0.00'), ' Gbps')")
+    return F.expr(f"concat(format_number({bytes_per_second} / 1e6D, '0.00'), ' MB/s')")
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> Column:
     """``100 * part / whole`` as a double, 0 when there is no whole."""
-    return F.when(whole != 0, 100.0 * part / whole).otherwise(0.0)
+    return F.expr(f"CASE WHEN {whole} <> 0 THEN 100D * ({part}) / {whole} ELSE 0D END")
 
 
-def span_label(low: Column, high: Column) -> Column:
-    return F.concat(human_bytes(low), F.lit(" - "), human_bytes(high))
+def span_label(low: str, high: str) -> Column:
+    return F.expr(f"concat({_bytes_text(low)}, ' - ', {_bytes_text(high)})")
 
 
-def interval_label(low: Column, high: Column, is_last: Column) -> Column:
-    closing = F.when(is_last, "]").otherwise(")")
-    return F.concat(F.lit("["), human_bytes(low), F.lit(", "), human_bytes(high), closing)
+def interval_label(low: str, high: str, is_last: str) -> Column:
+    closing = f"CASE WHEN {is_last} THEN ']' ELSE ')' END"
+    return F.expr(f"concat('[', {_bytes_text(low)}, ', ', {_bytes_text(high)}, {closing})")

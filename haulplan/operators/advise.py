@@ -25,87 +25,86 @@ MAX_SHARD_TIB = 10
 SHARDS_PER_SLOT = 4
 
 
-def transfer_profile(stats: DataFrame, base_flags: str = BASE_FLAGS) -> DataFrame:
-    """Add ``profile, profile_flags, profile_explanation, suggested_flags`` to size statistics."""
-    small, large, median = F.col("small_files_pct"), F.col("large_files_pct"), F.col("median_size")
-    whole_percent = lambda share: F.rint(share).cast("bigint").cast("string")
-    middle = F.concat(F.lit("median "), human_bytes(median), F.lit(")"))
-    rules = {
-        "empty": (F.col("total_files") == 0, F.lit("No files to analyze, using default settings")),
-        "small_files": (
-            (small > 70) | (median < SMALL_BELOW),
-            F.concat(F.lit("Optimized for small files ("), whole_percent(small), F.lit("% < 1MB, "), middle),
-        ),
-        "large_files": (
-            (large > 50) | (median > LARGE_ABOVE),
-            F.concat(F.lit("Optimized for large files ("), whole_percent(large), F.lit("% > 100MB, "), middle),
-        ),
-        "mixed": (F.lit(True), F.concat(F.lit("Balanced settings for mixed file sizes ("), middle)),
-    }
+# Rules of the profiles and their explanations; the first match counts.
+PROFILE_RULES = {
+    "empty": ("total_files = 0", "'No files to analyze, using default settings'"),
+    "small_files": (
+        f"small_files_pct > 70 OR median_size < {SMALL_BELOW}",
+        "concat('Optimized for small files (', cast(rint(small_files_pct) AS int), '% < 1MB, median ', median_text, ')')",
+    ),
+    "large_files": (
+        f"large_files_pct > 50 OR median_size > {LARGE_ABOVE}",
+        "concat('Optimized for large files (', cast(rint(large_files_pct) AS int), '% > 100MB, median ', median_text, ')')",
+    ),
+    "mixed": ("true", "concat('Balanced settings for mixed file sizes (median ', median_text, ')')"),
+}
 
-    def first_match(result) -> Column:
-        chosen = F.when(rules["empty"][0], result("empty"))
-        for name in ("small_files", "large_files", "mixed"):
-            chosen = chosen.when(rules[name][0], result(name))
-        return chosen
 
-    return stats.withColumns(
-        {
-            "profile": first_match(F.lit),
-            "profile_flags": first_match(lambda name: F.lit(PROFILE_FLAGS[name])),
-            "profile_explanation": first_match(lambda name: rules[name][1]),
-        }
-    ).withColumn("suggested_flags", F.concat("profile_flags", F.lit(" " + base_flags)))
+def _case(results: dict[str, str], subject: str = "") -> Column:
+    return F.expr(f"CASE {subject} " + " ".join(f"WHEN {when} THEN {then}" for when, then in results.items()) + " END")
 
 
-def _number(value: Column | int | None) -> Column:
-    return value if isinstance(value, Column) else F.lit(value).cast("bigint")
+def transfer_profile(stats: DataFrame, base_flags: str = BASE_FLAGS) -> DataFrame:
+    """Add ``profile, profile_flags, profile_explanation, suggested_flags`` to size statistics."""
+    profiled = stats.withColumns(
+        {
+            "median_text": human_bytes("median_size"),
+            "profile": _case({rule: f"'{name}'" for name, (rule, _) in PROFILE_RULES.items()}),
+        }
+    )
+    return profiled.withColumns(
+        {
+            "profile_flags": _case({f"'{name}'": f"'{flags}'" for name, flags in PROFILE_FLAGS.items()}, "profile"),
+            "profile_explanation": _case({f"'{name}'": text for name, (_, text) in PROFILE_RULES.items()}, "profile"),
+        }
+    ).select(
+        "*", F.concat("profile_flags", F.lit(" " + base_flags)).alias("suggested_flags")
+    ).drop("median_text")
 
 
 def shard_plan(
     totals: DataFrame,
-    cpus_per_task: Column | int = CPUS_PER_TASK,
-    array_concurrency: Column | int = ARRAY_CONCURRENCY,
-    core_budget: Column | int | None = None,
-    max_shard_tib: Column | int = MAX_SHARD_TIB,
+    cpus_per_task: str | int = CPUS_PER_TASK,
+    array_concurrency: str | int = ARRAY_CONCURRENCY,
+    core_budget: str | int | None = None,
+    max_shard_tib: str | int = MAX_SHARD_TIB,
 ) -> DataFrame:
     """Add the suggested shard count, its reasoning and its assumptions to rows with ``total_bytes``.
 
-    Settings may be numbers or columns.  One shard is enough below the byte cap;
-    above it the count follows the bytes, limited by four shards per concurrent
-    task and, when a core budget is known, by the tasks that fit into it.
+    Settings are numbers or column names.  One shard is enough below the byte
+    cap; above it the count follows the bytes, limited by four shards per
+    concurrent task and, when a core budget is known, by the tasks that fit into
+    it.
     """
-    total = F.col("total_bytes")
-    cpus, concurrency, budget, cap_tib = map(_number, (cpus_per_task, array_concurrency, core_budget, max_shard_tib))
-    cap = cap_tib * TIB
-    by_bytes = F.call_function("div", total + cap - 1, cap)
-    by_concurrency = concurrency * SHARDS_PER_SLOT
-    by_cores = F.when(budget.isNotNull(), F.greatest(F.call_function("div", budget, cpus), F.lit(1).cast("bigint")))
-    upper = F.least(by_concurrency, by_cores)  # least() passes over null
-    planned = totals.withColumns({"_by_bytes": by_bytes, "_by_concurrency": by_concurrency, "_by_cores": by_cores, "_upper": upper})
-    count = F.greatest(F.lit(1).cast("bigint"), F.least(F.col("_upper"), F.greatest(F.col("_by_bytes"), F.lit(1).cast("bigint"))))
-    chosen = F.when(total < cap, F.lit(1).cast("bigint")).otherwise(count)
-    below = F.format_string(
-        "total_bytes (%s) is below the per-shard cap (%d TiB); a single shard is sufficient.", human_bytes(total), cap_tib
+    assumed = totals.selectExpr(
+        "*",
+        f"""struct(total_bytes, cast({cpus_per_task} AS bigint) AS cpus_per_task,
+          cast({array_concurrency} AS bigint) AS array_concurrency,
+          cast({'NULL' if core_budget is None else core_budget} AS bigint) AS core_budget,
+          cast({max_shard_tib} AS bigint) AS max_shard_bytes_tb) AS assumptions""",
     )
-    above = F.concat_ws(
-        "; ",
-        F.format_string("shards_by_bytes=%d (total %s / %d TiB cap)", "_by_bytes", human_bytes(total), cap_tib),
-        F.format_string("shards_by_concurrency=%d (4 x %d)", "_by_concurrency", concurrency),
-        F.when(budget.isNotNull(), F.format_string("shards_by_cores=%d (%d cores / %d cpus_per_task)", "_by_cores", budget, cpus)),
-        F.format_string("chose max(1, min(upper=%d, shards_by_bytes)) = %d", "_upper", count),
+    limits = assumed.selectExpr(
+        "*",
+        f"assumptions.max_shard_bytes_tb * {TIB}L AS _cap",
+        f"assumptions.array_concurrency * {SHARDS_PER_SLOT} AS _by_concurrency",
+        "greatest(1L, assumptions.core_budget div assumptions.cpus_per_task) AS _cores",
+    ).selectExpr(
+        "*",
+        "(total_bytes + _cap - 1) div _cap AS _by_bytes",
+        "CASE WHEN assumptions.core_budget IS NOT NULL THEN _cores END AS _by_cores",
     )
-    assumptions = F.struct(
-        total.alias("total_bytes"),
-        cpus.alias("cpus_per_task"),
-        concurrency.alias("array_concurrency"),
-        budget.alias("core_budget"),
-        cap_tib.alias("max_shard_bytes_tb"),
+    chosen = limits.selectExpr("*", "least(_by_concurrency, _by_cores) AS _upper").selectExpr(  # least() passes over null
+        "*", "CASE WHEN total_bytes < _cap THEN 1L ELSE greatest(1L, least(_upper, _by_bytes)) END AS num_shards"
     )
-    return planned.withColumns(
-        {
-            "num_shards": chosen,
-            "reasoning": F.when(total < cap, below).otherwise(above),
-            "assumptions": assumptions,
-        }
-    ).drop("_by_bytes", "_by_concurrency", "_by_cores", "_upper")
+    reasoned = chosen.withColumn("_total", human_bytes("total_bytes")).selectExpr(
+        "*",
+        """CASE WHEN total_bytes < _cap THEN concat('total_bytes (', _total, ') is below the per-shard cap (',
+            assumptions.max_shard_bytes_tb, ' TiB); a single shard is sufficient.')
+          ELSE concat_ws('; ',
+            concat('shards_by_bytes=', _by_bytes, ' (total ', _total, ' / ', assumptions.max_shard_bytes_tb, ' TiB cap)'),
+            concat('shards_by_concurrency=', _by_concurrency, ' (4 x ', assumptions.array_concurrency, ')'),
+            concat('shards_by_cores=', _by_cores, ' (', assumptions.core_budget, ' cores / ',
+              assumptions.cpus_per_task, ' cpus_per_task)'),
+            concat('chose max(1, min(upper=', _upper, ', shards_by_bytes)) = ', num_shards)) END AS reasoning""",
+    )
+    return reasoned.drop("_cap", "_cores", "_by_bytes", "_by_concurrency", "_by_cores", "_upper", "_total")

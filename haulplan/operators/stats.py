@@ -45,14 +45,13 @@ def size_summary(sizes: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     The table is bounded per group (4,096 rows per power of two) and built with
     map-side partial sums, so a group or size that holds most rows is no hot spot.
     """
-    size = F.col("size")
-    return sizes.groupBy(*group_cols, coarse_size(size).alias("bucket")).agg(
-        F.count("*").alias("files"),
-        F.sum("size").alias("bytes"),
-        F.min("size").alias("smallest"),
-        F.max("size").alias("biggest"),
-        F.count_if(size < SMALL_BELOW).alias("small"),
-        F.count_if(size > LARGE_ABOVE).alias("large"),
+    return sizes.groupBy(*group_cols, coarse_size("size").alias("bucket")).agg(
+        F.expr("count(*) AS files"),
+        F.expr("sum(size) AS bytes"),
+        F.expr("min(size) AS smallest"),
+        F.expr("max(size) AS biggest"),
+        F.expr(f"count_if(size < {SMALL_BELOW}) AS small"),
+        F.expr(f"count_if(size > {LARGE_ABOVE}) AS large"),
     )
 
 
@@ -61,13 +60,11 @@ def _wanted_ranks(summary: DataFrame, group_cols: Sequence[str], quantiles: dict
     group = Window.partitionBy(*group_cols)
     upto = F.sum("files").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = summary.select(*group_cols, "bucket", "files", upto.alias("upto"), F.sum("files").over(group).alias("n"))
-    rank = lambda q: F.floor(F.lit(q) * (F.col("n") - 1).cast("double"))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(q).alias("rank")) for name, q in quantiles.items()])
-    base = F.col("upto") - F.col("files")
+    ranks = ", ".join(f"struct('{name}' AS name, floor({q!r}D * (n - 1)) AS rank)" for name, q in quantiles.items())
     return (
-        ranked.withColumn("wanted", F.explode(wanted))
-        .where((F.col("wanted.rank") >= base) & (F.col("wanted.rank") < F.col("upto")))
-        .select(*group_cols, "bucket", F.col("wanted.name").alias("name"), (F.col("wanted.rank") - base).alias("rank"))
+        ranked.withColumn("wanted", F.expr(f"explode(array({ranks}))"))
+        .where("wanted.rank >= upto - files AND wanted.rank < upto")
+        .select(*group_cols, "bucket", F.expr("wanted.name AS name"), F.expr("wanted.rank - (upto - files) AS rank"))
     )
 
 
@@ -92,7 +89,7 @@ def order_statistics(
         buckets = wanted.select(keys).distinct()
     else:
         buckets = F.broadcast(wanted.select(keys).distinct())  # one row per quantile
-    rows = sizes.select(*group_cols, "size", coarse_size(F.col("size")).alias("bucket"))
+    rows = sizes.select(*group_cols, "size", coarse_size("size").alias("bucket"))
     counted = rows.join(buckets, same_keys(rows, buckets, keys), "left_semi").groupBy(*keys, "size").agg(F.count("*").alias("files"))
     upto = F.sum("files").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
     counted = counted.select(*keys, "size", "files", upto.alias("upto"))
@@ -115,26 +112,24 @@ def size_stats(sizes: DataFrame, group_cols: Sequence[str] = (), summary: DataFr
         summary = stage(summary, "sizes") if group_cols else summary
     ranks = order_statistics(sizes, group_cols, summary=summary)
     both = summary.unionByName(ranks, allowMissingColumns=True)
-    whole = lambda column: F.coalesce(column, F.lit(0).cast("bigint"))
     sums = both.groupBy(*group_cols).agg(
-        whole(F.sum("files")).alias("total_files"),
-        whole(F.sum("bytes")).alias("total_bytes"),
-        whole(F.min("smallest")).alias("min_size"),
-        whole(F.max("biggest")).alias("max_size"),
-        *[whole(F.max(name)).alias(name) for name in QUANTILES],
-        whole(F.sum("small")).alias("small_files"),
-        whole(F.sum("large")).alias("large_files"),
+        F.expr("coalesce(sum(files), 0L) AS total_files"),
+        F.expr("coalesce(sum(bytes), 0L) AS total_bytes"),
+        F.expr("coalesce(min(smallest), 0L) AS min_size"),
+        F.expr("coalesce(max(biggest), 0L) AS max_size"),
+        *[F.expr(f"coalesce(max({name}), 0L) AS {name}") for name in QUANTILES],
+        F.expr("coalesce(sum(small), 0L) AS small_files"),
+        F.expr("coalesce(sum(large), 0L) AS large_files"),
     )
-    n, small, large = F.col("total_files"), F.col("small_files"), F.col("large_files")
     return sums.select(
         *group_cols,
         "total_files",
         "total_bytes",
         "min_size",
         "max_size",
-        F.when(n > 0, F.col("total_bytes") / n).otherwise(0.0).alias("mean_size"),
+        F.expr("CASE WHEN total_files > 0 THEN total_bytes / total_files ELSE 0D END AS mean_size"),
         *QUANTILES,
-        percent(small, n).alias("small_files_pct"),
-        percent(n - small - large, n).alias("medium_files_pct"),
-        percent(large, n).alias("large_files_pct"),
+        percent("small_files", "total_files").alias("small_files_pct"),
+        percent("total_files - small_files - large_files", "total_files").alias("medium_files_pct"),
+        percent("large_files", "total_files").alias("large_files_pct"),
     )

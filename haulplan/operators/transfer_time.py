@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulplan.functions.rates import parse_rate, rate_steps
@@ -15,11 +15,9 @@ def _positive(rate: float, text: str) -> float:
     return rate
 
 
-def _at_rate(totals: DataFrame, rate: Column, prefer_units: str) -> DataFrame:
-    seconds = F.col("bytes_total") / rate
-    return totals.withColumns(
-        {"rate": rate, "rate_text": human_rate(rate, prefer_units), "seconds": seconds, "time_text": human_seconds(seconds)}
-    )
+def _at_rate(totals: DataFrame, rate: str, prefer_units: str) -> DataFrame:
+    timed = totals.withColumns({"rate": F.col(rate), "seconds": F.expr(f"bytes_total / {rate}")})
+    return timed.withColumns({"rate_text": human_rate("rate", prefer_units), "time_text": human_seconds("seconds")})
 
 
 def time_table(totals: DataFrame, min_rate: str, max_rate: str, prefer_units: str = "Gbps") -> DataFrame:
@@ -30,7 +28,7 @@ def time_table(totals: DataFrame, min_rate: str, max_rate: str, prefer_units: st
     rates = rate_steps(parse_rate(min_rate), parse_rate(max_rate))
     steps = F.array(*[F.lit(rate) for rate in rates]).cast("array<double>")
     stepped = totals.select("*", F.posexplode(steps).alias("step", "assumed"))
-    return _at_rate(stepped, F.col("assumed"), prefer_units).drop("assumed")
+    return _at_rate(stepped, "assumed", prefer_units).drop("assumed")
 
 
 def time_range(totals: DataFrame, min_rate: str, max_rate: str, prefer_units: str = "Gbps") -> DataFrame:
@@ -41,7 +39,7 @@ def time_range(totals: DataFrame, min_rate: str, max_rate: str, prefer_units: st
         F.struct(F.lit("fast").alias("end"), F.lit(max(given)).alias("rate")),
     )
     both = totals.withColumn("given", F.explode(ends))
-    return _at_rate(both.withColumn("end", F.col("given.end")), F.col("given.rate"), prefer_units).drop("given")
+    return _at_rate(both.withColumn("end", F.col("given.end")), "given.rate", prefer_units).drop("given")
 
 
 def time_steps_for(ranges: DataFrame, prefer_units: str = "Gbps", rows: int = 7) -> DataFrame:
@@ -54,4 +52,4 @@ def time_steps_for(ranges: DataFrame, prefer_units: str = "Gbps", rows: int = 7)
         .otherwise(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: low * F.pow(high / low, i / float(rows - 1))))
     )
     stepped = ranges.select("*", F.posexplode(steps).alias("step", "assumed"))
-    return _at_rate(stepped, F.col("assumed"), prefer_units).drop("assumed")
+    return _at_rate(stepped, "assumed", prefer_units).drop("assumed")

@@ -8,7 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulplan.functions.text import human_bytes, round_half_even
+from haulplan.functions.numbers import round_half_even
+from haulplan.functions.text import human_bytes
 from haulplan.operators import advise, normalize
 from haulplan.operators.histogram import DEFAULT_MAX, DEFAULT_MIN, histogram, log_histogram, range_histogram
 from haulplan.operators.shards import HEAD_LIMIT, assign_shards
@@ -98,38 +99,36 @@ def analyze(
     planned = advise.shard_plan(stats, cpus_per_task, array_concurrency, core_budget, max_shard_tib)
     bin_fields = ["range_min", "range_max", "range_label", "file_count", "pct_files", "bytes", "bytes_human", "pct_bytes"]
     bins = histogram(sizes, group_cols, summary).groupBy(*group_cols).agg(
-        F.array_sort(F.collect_list(F.struct("bin", *bin_fields))).alias("bins")  # at most 64 bins
+        F.expr(f"array_sort(collect_list(struct(bin, {', '.join(bin_fields)}))) AS bins")  # at most 64 bins
     )
     if group_cols:
         report = planned.join(bins, same_keys(planned, bins, group_cols), "left").drop(*[bins[c] for c in group_cols])
     else:
         report = planned.withColumn("bins", bins.scalar())
-    found = F.col("total_files") > 0
-    rounded = lambda name: round_half_even(F.col(name), 1).alias(name)
-    described = [F.struct(F.col(n).alias(n), human_bytes(F.col(n)).alias(f"{n}_human")) for n in ("min_size", "max_size", "median_size")]
-    file_size_stats = F.struct(
-        *[piece[field] for piece, n in zip(described, ("min_size", "max_size", "median_size")) for field in (n, f"{n}_human")],
-        rounded("small_files_pct"),
-        rounded("medium_files_pct"),
-        rounded("large_files_pct"),
-    )
-    only = lambda value: F.when(found, value)
-    return report.select(
+    texts = report.withColumns({f"{n}_human": human_bytes(n) for n in ("total_bytes", "min_size", "max_size", "median_size")})
+    rounded = texts.withColumns({n: round_half_even(n, 1) for n in ("small_files_pct", "medium_files_pct", "large_files_pct")})
+    fields = ", ".join(f"b.{name} AS {name}" for name in bin_fields)
+    found = {
+        "total_files": "total_files",
+        "total_bytes": "total_bytes",
+        "total_bytes_human": "total_bytes_human",
+        "file_size_stats": """struct(min_size, min_size_human, max_size, max_size_human, median_size, median_size_human,
+          small_files_pct, medium_files_pct, large_files_pct)""",
+        "profile": "profile",
+        "profile_explanation": "profile_explanation",
+        "suggested_flags": "suggested_flags",
+        "suggested_shard_count": "num_shards",
+        "shard_count_reasoning": "reasoning",
+        "shard_count_assumptions": "assumptions",
+        "histogram": f"transform(bins, b -> struct({fields}))",
+    }
+    described = rounded.selectExpr(
         *group_cols,
-        F.when(found, "ok").otherwise("error").alias("status"),
-        F.when(~found, "No files found in manifest").alias("error"),
-        only(F.col("total_files")).alias("total_files"),
-        only(F.col("total_bytes")).alias("total_bytes"),
-        only(human_bytes(F.col("total_bytes"))).alias("total_bytes_human"),
-        only(file_size_stats).alias("file_size_stats"),
-        only(F.col("profile")).alias("profile"),
-        only(F.col("profile_explanation")).alias("profile_explanation"),
-        F.when(found, F.col("suggested_flags")).otherwise(base_flags).alias("suggested_flags"),
-        only(F.col("num_shards")).alias("suggested_shard_count"),
-        only(F.col("reasoning")).alias("shard_count_reasoning"),
-        only(F.col("assumptions")).alias("shard_count_assumptions"),
-        only(F.transform("bins", lambda b: F.struct(*[b[f].alias(f) for f in bin_fields]))).alias("histogram"),
+        "CASE WHEN total_files > 0 THEN 'ok' ELSE 'error' END AS status",
+        "CASE WHEN total_files = 0 THEN 'No files found in manifest' END AS error",
+        *[f"CASE WHEN total_files > 0 THEN {value} END AS {name}" for name, value in found.items()],
     )
+    return described.withColumn("suggested_flags", F.coalesce("suggested_flags", F.lit(base_flags)))
 
 
 def report_json(report: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -169,7 +168,7 @@ def estimate(
     elif hist_mode == "log":
         bins = log_histogram(sizes, hist_min, hist_max, hist_bins, group_cols)
     return Estimate(
-        summed.withColumn("bytes_human", human_bytes(F.col("bytes_total"))),
+        summed.withColumn("bytes_human", human_bytes("bytes_total")),
         time_table(summed, min_rate, max_rate, prefer_units),
         time_range(summed, min_rate, max_rate, prefer_units),
         bins,

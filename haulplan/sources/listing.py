@@ -30,19 +30,23 @@ def with_json(rows: DataFrame, text: str, name: str) -> DataFrame:
     Spark's parser stops behind the first value and would pass over anything
     that follows.  The text is therefore read as the first element of an array
     that ends with a mark, and counts only if the mark is the second element.
+
+    The value is handed on by ``explode``, behind which no filter is moved, so
+    that a text is parsed once however often the value is used.
     """
-    framed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f',"{END_MARK}"]')))
-    marked = F.try_variant_get("_framed", "$[1]", "string") == END_MARK
-    value = F.when(marked, F.try_variant_get("_framed", "$[0]", "variant"))
-    return rows.withColumn("_framed", framed).withColumn(name, value).drop("_framed")
+    elements = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f',"{END_MARK}"]'))), "$", "array<variant>")
+    mark = F.try_variant_get(F.get("_elements", F.lit(1)), "$", "string")
+    value = F.when((F.size("_elements") == 2) & (mark == END_MARK), F.get("_elements", F.lit(0)))
+    return rows.withColumn("_elements", elements).withColumn(name, F.explode(F.array(value))).drop("_elements")
 
 
 def is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT<")
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
-def is_array(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY<"), F.lit(False))
+def opens_with(text: Column, bracket: str) -> Column:
+    """Whether the first character that is no JSON blank is ``bracket``."""
+    return F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit(bracket))
 
 
 def _numbered(names: DataFrame) -> DataFrame:
@@ -79,18 +83,19 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str], max_bytes: int
     texts = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("part"), _checked_text(max_bytes).alias("text")
     )
-    parsed = with_json(texts, "text", "array").drop("text")
     refused = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("part"))).cast("variant")
-    arrays = parsed.withColumn("array", F.when(is_array(F.col("array")), F.col("array")).otherwise(refused))
+    is_array = opens_with(F.col("text"), "[") & F.col("array").isNotNull()
+    parsed = with_json(texts, "text", "array")
+    arrays = parsed.withColumn("array", F.when(is_array, F.col("array")).otherwise(refused)).drop("text")
     return explode_arrays(arrays.join(_numbered(names), "part").drop("part"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parse the column ``value``; blank lines are skipped, bad JSON fails, non-objects are dropped."""
     parsed = with_json(lines.where(F.trim("value") != ""), "value", "object")
-    refused = F.raise_error(F.concat(F.lit("not JSON: "), F.col("value"))).cast("variant")
-    strict = parsed.withColumn("object", F.coalesce("object", refused)).drop("value")
-    return strict.where(is_object(F.col("object")))
+    refused = F.raise_error(F.concat(F.lit("not JSON: "), F.col("value"))).cast("boolean")
+    is_kept = F.when(F.col("object").isNull(), refused).otherwise(opens_with(F.col("value"), "{"))
+    return parsed.where(is_kept).drop("value")
 
 
 def order_lines(lines: DataFrame) -> DataFrame:
@@ -135,8 +140,7 @@ def read_ndjson(spark: SparkSession, paths: str | list[str], ordered: bool = Tru
 def array_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: ``file`` and whether its first non-blank character opens an array."""
     head = _lines(spark, paths).where((F.col("block") == 0) & (F.trim("value") != ""))
-    first = F.min_by(F.substring(F.ltrim("value"), 1, 1), "row")
-    return head.groupBy("file").agg((first == "[").alias("is_array"))
+    return head.groupBy("file").agg(F.min_by(opens_with(F.col("value"), "["), "row").alias("is_array"))
 
 
 def read_listing(spark: SparkSession, paths: str | list[str], ordered: bool = True) -> DataFrame:
@@ -200,7 +204,8 @@ def split_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     A part that is no JSON, or no array, is left out and reported.
     """
     parsed = with_json(parts, "text", "array")
-    good = parsed.where(is_array(F.col("array"))).drop("text")
+    is_array = opens_with(F.col("text"), "[") & F.col("array").isNotNull()
+    good = parsed.where(is_array).drop("text")
     reason = F.when(F.col("array").isNull(), "not JSON").otherwise("not a JSON array")
-    rejected = parsed.where(~is_array(F.col("array"))).select("part", reason.alias("reason"))
+    rejected = parsed.where(~is_array).select("part", reason.alias("reason"))
     return good, rejected
