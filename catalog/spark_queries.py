@@ -376,7 +376,7 @@ def c2_human_seconds(spark, sf_dir):
 
 @query
 def c3_rates(spark, sf_dir):
-    events = inputs.table(spark, sf_dir, "events").select("event_id", F.expr("cast(cast(value * 100 AS bigint) AS string)").alias("number"))
+    events = inputs.in_parallel(inputs.table(spark, sf_dir, "events")).select("event_id", F.expr("cast(cast(value * 100 AS bigint) AS string)").alias("number"))
     units = {"gbps": "Gbps", "mb_s": " MB/s", "kib_s": "KiB/s ", "tb_per_sec": "TbPerSec", "plain": "Bp/s", "pib": " PiBps"}
     return events.select("event_id", *[bytes_per_second(F.concat("number", F.lit(unit))).alias(name) for name, unit in units.items()])
 

@@ -45,26 +45,26 @@ def size_summary(sizes: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     The table is bounded per group (4,096 rows per power of two) and built with
     map-side partial sums, so a group or size that holds most rows is no hot spot.
     """
-    return sizes.groupBy(*group_cols, coarse_size("size").alias("bucket")).agg(
-        F.expr("count(*) AS files"),
-        F.expr("sum(size) AS bytes"),
-        F.expr("min(size) AS smallest"),
-        F.expr("max(size) AS biggest"),
-        F.expr(f"count_if(size < {SMALL_BELOW}) AS small"),
-        F.expr(f"count_if(size > {LARGE_ABOVE}) AS large"),
+    return sizes.groupBy(*group_cols, coarse_size("size").alias("_bucket")).agg(
+        F.expr("count(*) AS _files"),
+        F.expr("sum(size) AS _bytes"),
+        F.expr("min(size) AS _smallest"),
+        F.expr("max(size) AS _biggest"),
+        F.expr(f"count_if(size < {SMALL_BELOW}) AS _small"),
+        F.expr(f"count_if(size > {LARGE_ABOVE}) AS _large"),
     )
 
 
 def _wanted_ranks(summary: DataFrame, group_cols: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
     """Bucket of each quantile, and the rank left inside that bucket."""
     group = Window.partitionBy(*group_cols)
-    upto = F.sum("files").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = summary.select(*group_cols, "bucket", "files", upto.alias("upto"), F.sum("files").over(group).alias("n"))
-    ranks = ", ".join(f"struct('{name}' AS name, floor({q!r}D * (n - 1)) AS rank)" for name, q in quantiles.items())
+    upto = F.sum("_files").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = summary.select(*group_cols, "_bucket", "_files", upto.alias("_upto"), F.sum("_files").over(group).alias("_n"))
+    ranks = ", ".join(f"struct('{name}' AS _name, floor({q!r}D * (_n - 1)) AS _rank)" for name, q in quantiles.items())
     return (
-        ranked.withColumn("wanted", F.expr(f"explode(array({ranks}))"))
-        .where("wanted.rank >= upto - files AND wanted.rank < upto")
-        .select(*group_cols, "bucket", F.expr("wanted.name AS name"), F.expr("wanted.rank - (upto - files) AS rank"))
+        ranked.withColumn("_wanted", F.expr(f"explode(array({ranks}))"))
+        .where("_wanted._rank >= _upto - _files AND _wanted._rank < _upto")
+        .select(*group_cols, "_bucket", F.expr("_wanted._name AS _name"), F.expr("_wanted._rank - (_upto - _files) AS _rank"))
     )
 
 
@@ -82,23 +82,23 @@ def order_statistics(
     """
     summary = size_summary(sizes, group_cols) if summary is None else summary
     wanted = _wanted_ranks(summary, group_cols, quantiles)
-    keys = [*group_cols, "bucket"]
+    keys = [*group_cols, "_bucket"]
     if group_cols:
         # Written table: its true size decides whether it is broadcast.
         wanted = stage(wanted, "ranks")
         buckets = wanted.select(keys).distinct()
     else:
         buckets = F.broadcast(wanted.select(keys).distinct())  # one row per quantile
-    rows = sizes.select(*group_cols, "size", coarse_size("size").alias("bucket"))
-    counted = rows.join(buckets, same_keys(rows, buckets, keys), "left_semi").groupBy(*keys, "size").agg(F.count("*").alias("files"))
-    upto = F.sum("files").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    counted = counted.select(*keys, "size", "files", upto.alias("upto"))
+    rows = sizes.select(*group_cols, "size", coarse_size("size").alias("_bucket"))
+    counted = rows.join(buckets, same_keys(rows, buckets, keys), "left_semi").groupBy(*keys, "size").agg(F.count("*").alias("_files"))
+    upto = F.sum("_files").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.select(*keys, "size", "_files", upto.alias("_upto"))
     if not group_cols:
         wanted = F.broadcast(wanted)
-    in_place = (wanted["rank"] < counted["upto"]) & (wanted["rank"] >= counted["upto"] - counted["files"])
+    in_place = (wanted["_rank"] < counted["_upto"]) & (wanted["_rank"] >= counted["_upto"] - counted["_files"])
     found = counted.join(wanted, same_keys(counted, wanted, keys) & in_place)
     return found.groupBy(*[counted[key] for key in group_cols]).agg(
-        *[F.max(F.when(F.col("name") == name, F.col("size"))).alias(name) for name in quantiles]
+        *[F.max(F.when(F.col("_name") == name, F.col("size"))).alias(name) for name in quantiles]
     )
 
 
@@ -113,13 +113,13 @@ def size_stats(sizes: DataFrame, group_cols: Sequence[str] = (), summary: DataFr
     ranks = order_statistics(sizes, group_cols, summary=summary)
     both = summary.unionByName(ranks, allowMissingColumns=True)
     sums = both.groupBy(*group_cols).agg(
-        F.expr("coalesce(sum(files), 0L) AS total_files"),
-        F.expr("coalesce(sum(bytes), 0L) AS total_bytes"),
-        F.expr("coalesce(min(smallest), 0L) AS min_size"),
-        F.expr("coalesce(max(biggest), 0L) AS max_size"),
+        F.expr("coalesce(sum(_files), 0L) AS total_files"),
+        F.expr("coalesce(sum(_bytes), 0L) AS total_bytes"),
+        F.expr("coalesce(min(_smallest), 0L) AS min_size"),
+        F.expr("coalesce(max(_biggest), 0L) AS max_size"),
         *[F.expr(f"coalesce(max({name}), 0L) AS {name}") for name in QUANTILES],
-        F.expr("coalesce(sum(small), 0L) AS small_files"),
-        F.expr("coalesce(sum(large), 0L) AS large_files"),
+        F.expr("coalesce(sum(_small), 0L) AS _small_files"),
+        F.expr("coalesce(sum(_large), 0L) AS _large_files"),
     )
     return sums.select(
         *group_cols,
@@ -129,7 +129,7 @@ def size_stats(sizes: DataFrame, group_cols: Sequence[str] = (), summary: DataFr
         "max_size",
         F.expr("CASE WHEN total_files > 0 THEN total_bytes / total_files ELSE 0D END AS mean_size"),
         *QUANTILES,
-        percent("small_files", "total_files").alias("small_files_pct"),
-        percent("total_files - small_files - large_files", "total_files").alias("medium_files_pct"),
-        percent("large_files", "total_files").alias("large_files_pct"),
+        percent("_small_files", "total_files").alias("small_files_pct"),
+        percent("total_files - _small_files - _large_files", "total_files").alias("medium_files_pct"),
+        percent("_large_files", "total_files").alias("large_files_pct"),
     )

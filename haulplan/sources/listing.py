@@ -7,6 +7,9 @@ a boolean, a path only as a string), and tells ``ETag`` from ``etag``.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,9 @@ MAX_ARRAY_BYTES = 64 * 1024**2
 PART_SHIFT = 31
 
 
+#: Start of a file name that Spark spells in two ways (``file:/x``, ``file:///x``).
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
 #: Mark put behind a text before it is parsed.
 END_MARK = "~end of text~"
 
@@ -49,11 +55,6 @@ def opens_with(text: Column, bracket: str) -> Column:
     return F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit(bracket))
 
 
-def _numbered(names: DataFrame) -> DataFrame:
-    """Add ``part_number`` in name order; ``names`` holds one row per file."""
-    return names.withColumn("part_number", F.row_number().over(Window.orderBy("part")) - 1)
-
-
 def explode_arrays(parts: DataFrame) -> DataFrame:
     """Objects of parsed arrays: ``part_number, array VARIANT`` plus any columns to keep.
 
@@ -68,26 +69,39 @@ def explode_arrays(parts: DataFrame) -> DataFrame:
     return elements.where(is_object(F.col("object"))).select(*kept, seq.alias("seq"), "object")
 
 
-def _checked_text(limit: int) -> Column:
+def _files(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
+
+
+def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pattern: str = "*") -> DataFrame:
+    """``part, part_number, text`` of files read whole, in the order of their paths.
+
+    The file names come from the plan of the scan.  Empty files give no row in a
+    scan, so they are added from there with an empty text.
+    """
+    files = _files(spark, paths, pattern)
+    names = sorted((re.sub(SCHEME, "", name) for name in files.inputFiles()), key=unquote)
+    numbered = spark.createDataFrame(list(zip(names, range(len(names)))), "part string, part_number int")
     too_large = F.format_string(
         "%s holds one JSON array of %d bytes; split it into part files or write it as newline-delimited JSON",
         F.col("_metadata.file_path"),
         F.col("_metadata.file_size"),
     )
-    return F.when(F.col("_metadata.file_size") <= limit, F.col("value")).otherwise(F.raise_error(too_large).cast("string"))
+    refused = F.raise_error(too_large).cast("string")
+    text = F.when(F.col("_metadata.file_size") <= max_bytes, F.col("value")).otherwise(refused)
+    part = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "").alias("part")
+    texts = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=True).select(part, text.alias("text"))
+    empty = numbered.join(files.select(part), "part", "left_anti").withColumn("text", F.lit(""))
+    return texts.join(numbered, "part").unionByName(empty)
 
 
 def read_json_arrays(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_ARRAY_BYTES) -> DataFrame:
     """Files that each hold one JSON array; anything else in a file is an error."""
-    names = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("part"))
-    texts = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("part"), _checked_text(max_bytes).alias("text")
-    )
     refused = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("part"))).cast("variant")
     is_array = opens_with(F.col("text"), "[") & F.col("array").isNotNull()
-    parsed = with_json(texts, "text", "array")
-    arrays = parsed.withColumn("array", F.when(is_array, F.col("array")).otherwise(refused)).drop("text")
-    return explode_arrays(arrays.join(_numbered(names), "part").drop("part"))
+    parsed = with_json(_whole_files(spark, paths, max_bytes), "text", "array")
+    arrays = parsed.withColumn("array", F.when(is_array, F.col("array")).otherwise(refused))
+    return explode_arrays(arrays.drop("text", "part"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -149,8 +163,8 @@ def read_listing(spark: SparkSession, paths: str | list[str], ordered: bool = Tr
     Array files come first in ``seq``; use the readers above to skip detection.
     """
     forms = array_files(spark, paths).collect()  # one row per listing file
-    arrays = [row.file for row in forms if row.is_array]
-    others = [row.file for row in forms if not row.is_array]
+    arrays = [unquote(row.file) for row in forms if row.is_array]
+    others = [unquote(row.file) for row in forms if not row.is_array]
     scans = [read_json_arrays(spark, arrays)] if arrays else []
     if others:
         lines = read_ndjson(spark, others, ordered)
@@ -173,27 +187,24 @@ def read_parts(
     A part ``x.json`` may have a sidecar ``x.prefix`` whose stripped text is put
     before its paths.  No part at all is an error.
     """
-    names = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(parts_dir)
-        .select(F.element_at(F.split("path", "/"), -1).alias("part"))
-    )
-    if names.isEmpty():
+    if not _files(spark, parts_dir, pattern).inputFiles():
         raise FileNotFoundError(f"no part files {pattern} in {parts_dir}")
-    texts = spark.read.option("pathGlobFilter", pattern).text(parts_dir, wholetext=True)
-    texts = texts.select(F.col("_metadata.file_name").alias("part"), _checked_text(max_bytes).alias("text"))
-    numbered = texts.join(_numbered(names), "part")
-    return numbered.join(
-        read_prefixes(spark, parts_dir), F.regexp_replace("part", r"\.[^.]*$", "") == F.col("stem"), "left"
-    ).select("part", "part_number", F.coalesce("prefix", F.lit("")).alias("prefix"), "text")
+    parts = _whole_files(spark, parts_dir, max_bytes, pattern)
+    named = parts.withColumn("part", F.element_at(F.split("part", "/"), -1))
+    return named.join(read_prefixes(spark, parts_dir), _stem(F.col("part")) == F.col("stem"), "left").select(
+        "part", "part_number", F.coalesce("prefix", F.lit("")).alias("prefix"), "text"
+    )
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def read_prefixes(spark: SparkSession, parts_dir: str) -> DataFrame:
     """Sidecars of a folder: ``stem, prefix``."""
     sidecars = spark.read.option("pathGlobFilter", "*.prefix").text(parts_dir, wholetext=True)
     return sidecars.select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.prefix$", "").alias("stem"),
+        _stem(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("stem"),
         F.regexp_replace("value", r"^\s+|\s+$", "").alias("prefix"),
     )
 

@@ -43,7 +43,7 @@ def read_manifest(spark: SparkSession, paths: str | list[str], accepted: Sequenc
 def sizes_of_lines(lines: DataFrame) -> DataFrame:
     """Sizes of manifest lines (``value``), leaving out lines and sizes that cannot be read."""
     parsed = with_json(lines.where(F.trim("value") != ""), "value", "object")
-    sizes = parsed.where(opens_with(F.col("value"), "{")).select(size_or_skip(field(F.col("object"), "size")).alias("size"))
+    sizes = parsed.where(F.col("object").isNotNull() & opens_with(F.col("value"), "{")).select(size_or_skip(field(F.col("object"), "size")).alias("size"))
     return sizes.where(F.col("size").isNotNull())
 
 
