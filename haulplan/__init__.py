@@ -12,6 +12,7 @@ from haulplan.plans.jobs import (
     rebase_file,
     report_json,
     shard_manifest,
+    write_report,
 )
 from haulplan.sources.listing import read_json_arrays, read_listing, read_ndjson, read_parts
 from haulplan.sources.manifests import read_manifest, read_sizes, write_manifest
@@ -38,4 +39,5 @@ __all__ = [
     "shard_status",
     "shard_summary",
     "write_manifest",
+    "write_report",
 ]

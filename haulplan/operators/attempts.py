@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulplan.operators.ordering import number_within
+from haulplan.staging import stage
 
 MAX_ATTEMPTS = 5  # Fixed value: default number of attempts per shard.
 
@@ -47,8 +48,12 @@ def shard_status(shards: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def pending_work(sharded: DataFrame, status: DataFrame) -> DataFrame:
-    """Manifest records whose shard is not done yet."""
-    done = status.where(F.col("status") == "done").select("shard_id")
+    """Manifest records whose shard is not done yet.
+
+    The finished shards are written as a small table, so that its true size
+    decides whether it is broadcast; the records are then not shuffled.
+    """
+    done = stage(status.where(F.col("status") == "done").select("shard_id"), "done")
     return sharded.join(done, "shard_id", "left_anti")
 
 

@@ -13,14 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulplan.staging import stage
+
 CHUNK_SHIFT = 20
 
 
 def total_before(rows: DataFrame, key: str, values: Sequence[str], shift: int = CHUNK_SHIFT) -> DataFrame:
     """Add ``<value>_before``: the sum of each value over all rows with a smaller key.
 
-    ``rows`` has one row per key.  Works in two levels: inside chunks of the key,
-    and over the chunk totals.
+    ``rows`` has one row per key and is read twice, so it should be a table.
+    Works in two levels: inside chunks of the key, and over the chunk totals.
     """
     chunked = rows.withColumn("_chunk", F.shiftright(key, shift))
     chunks = chunked.groupBy("_chunk").agg(*[F.sum(v).alias(f"_{v}_chunk") for v in values])
@@ -39,9 +41,20 @@ def _sum_or_zero(value: str, window: Window) -> Column:
 
 
 def record_index(manifest: DataFrame, shift: int = CHUNK_SHIFT) -> DataFrame:
-    """Add ``index``: the dense 0-based position of each record in ``seq`` order."""
+    """Add ``index``: the dense 0-based position of each record in ``seq`` order.
+
+    One narrow pass counts the records per chunk, into a small written table.  A
+    ``seq`` without gaps then only has to be shifted; otherwise records are
+    numbered inside their chunk, which costs one shuffle.
+    """
     chunked = manifest.withColumn("_part", F.shiftright("seq", shift))
-    counts = chunked.groupBy("_part").agg(F.count("*").alias("rows"))
+    counts = chunked.groupBy("_part").agg(
+        F.count("*").alias("rows"), F.min("seq").alias("_first"), F.max("seq").alias("_last")
+    )
+    counts = stage(counts, "chunks")
+    seen = counts.agg(F.min("_first").alias("first"), F.max("_last").alias("last"), F.sum("rows").alias("rows")).first()
+    if seen.rows and seen.last - seen.first + 1 == seen.rows:
+        return manifest.withColumn("index", F.col("seq") - seen.first)
     starts = total_before(counts, "_part", ["rows"], shift).select("_part", "rows_before")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1
     return (

@@ -92,7 +92,8 @@ def sha1_modulo(key: Column, divisor: int) -> Column:
 def shard_by_hash(manifest: DataFrame, num_shards: int) -> DataFrame:
     """Shard from the hash of ``source``, else ``path``, else the record's position."""
     key = F.coalesce(F.nullif("source", F.lit("")), F.nullif("path", F.lit("")))
-    if not manifest.where(key.isNull()).isEmpty():
+    keyless = "(source IS NULL OR source = '') AND (path IS NULL OR path = '')"  # answered by file statistics
+    if not manifest.where(keyless).isEmpty():
         manifest = record_index(manifest)
         key = F.coalesce(key, F.col("index").cast("string"))
     return manifest.withColumn("shard_id", sha1_modulo(key, num_shards).cast("int")).drop("index")

@@ -105,11 +105,10 @@ def order_statistics(
 def size_stats(sizes: DataFrame, group_cols: Sequence[str] = (), summary: DataFrame | None = None) -> DataFrame:
     """Count, bytes, extremes, mean, p10 / median / p90 and size-class shares.
 
-    Without groups there is always one row, all zeros for an empty input.
+    Without groups there is always one row, all zeros for an empty input.  The
+    bucket table is written once, so the sizes are read twice in all.
     """
-    if summary is None:
-        summary = size_summary(sizes, group_cols)
-        summary = stage(summary, "sizes") if group_cols else summary
+    summary = stage(size_summary(sizes, group_cols), "sizes") if summary is None else summary
     ranks = order_statistics(sizes, group_cols, summary=summary)
     both = summary.unionByName(ranks, allowMissingColumns=True)
     sums = both.groupBy(*group_cols).agg(

@@ -137,6 +137,10 @@ def report_json(report: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     return report.select(*group_cols, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("report"))
 
 
+def write_report(report: DataFrame, path: str, group_cols: Sequence[str] = ()) -> None:
+    report_json(report, group_cols).write.json(path) if group_cols else report_json(report).coalesce(1).write.text(path)
+
+
 class Estimate(NamedTuple):
     totals: DataFrame
     times: DataFrame

@@ -115,16 +115,17 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def order_lines(lines: DataFrame) -> DataFrame:
     """Give staged rows ``file, block, row`` a ``seq`` in file-name and line order.
 
-    ``row`` rises inside a block.  One narrow aggregate finds the first row and
-    the number of rows of each block; only that block table, one row per input
-    split, is ordered in one place.
+    ``row`` rises inside a block.  One narrow aggregate finds the first and the
+    last row of each block; only that block table, one row per input split, is
+    ordered in one place.  It is written, so that its true size decides whether
+    it is broadcast to the rows.
     """
     blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first"), F.max("row").alias("last"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         "file", "block", (F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(before), F.lit(0)) - F.col("first")).alias("start")
     )
-    placed = lines.join(starts, ["file", "block"])
+    placed = lines.join(stage(starts, "blocks"), ["file", "block"])
     return placed.select(
         (F.col("start") + F.col("row")).alias("seq"), *[c for c in lines.columns if c not in ("file", "block", "row")]
     )

@@ -80,11 +80,14 @@ def in_record_order(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions("seq")
 
 
-def write_manifest(manifest: DataFrame, path: str, file_format: str = "parquet", ordered: bool = True) -> None:
-    """Write a manifest as ``parquet`` or as compact ``json`` lines, in record order.
+def write_manifest(manifest: DataFrame, path: str, file_format: str = "parquet", ordered: bool | None = None) -> None:
+    """Write a manifest as ``parquet`` or as compact ``json`` lines.
 
-    Null fields are written, so that every record has every field.
+    JSON lines are put in record order; parquet has the order in ``seq`` and is
+    written without a shuffle, unless ``ordered`` asks for one.  Null fields are
+    written, so that every record has every field.
     """
+    ordered = file_format == "json" if ordered is None else ordered
     rows = in_record_order(manifest) if ordered else manifest
     writer = rows.write.option("ignoreNullFields", "false") if file_format == "json" else rows.write
     writer.format(file_format).save(path)
