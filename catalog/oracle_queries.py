@@ -378,5 +378,6 @@ ORACLES["t4_progress_fine"] = progress("documents", 64)
 
 # --- Streams ---------------------------------------------------------------
 
+ORACLES["x1_live_manifest"] = f"WITH {DOC_PARTS} SELECT path, size, '{SRC}/' || path AS source FROM docs"
 ORACLES["x1_live_progress"] = "SELECT count(*) AS files_listed, CAST(sum(n_chars) AS BIGINT) AS bytes_listed FROM documents"
 ORACLES["x2_live_shard_status"] = ORACLES["t1_attempt_summary"]

@@ -459,14 +459,20 @@ def t4_progress_fine(spark, sf_dir):
 
 
 @query
-def x1_live_progress(spark, sf_dir):
-    """Part files through the streaming build, then the running totals of the result."""
-    parts_dir, out, state = inputs.written_arrays(spark, sf_dir), staging_path(spark, "live"), staging_path(spark, "state")
+def x1_live_manifest(spark, sf_dir):
+    """Part files through the streaming build."""
+    parts_dir, out = inputs.written_arrays(spark, sf_dir), staging_path(spark, "live")
     arriving = live.stream_parts(spark, parts_dir, pattern="part-*.txt")
-    live.append_parts(arriving, parts_dir, out, f"{state}/parts", SOURCE, DEST, RUN_ID).awaitTermination()
-    running = live.live_progress(live.stream_manifest(spark, out))
-    live.keep_latest(running, f"{out}_progress", f"{state}/progress").awaitTermination()
-    return _last_batch(spark, f"{out}_progress")
+    live.append_parts(arriving, parts_dir, out, staging_path(spark, "state"), SOURCE, DEST, RUN_ID).awaitTermination()
+    return spark.read.parquet(out).select("path", "size", "source")
+
+
+@query
+def x1_live_progress(spark, sf_dir):
+    out = staging_path(spark, "progress")
+    arriving = live.stream_parts(spark, inputs.written_arrays(spark, sf_dir), pattern="part-*.txt")
+    live.keep_latest(live.live_progress(arriving), out, staging_path(spark, "state")).awaitTermination()
+    return _last_batch(spark, out)
 
 
 @query

@@ -192,12 +192,12 @@ def read_parts(
         raise FileNotFoundError(f"no part files {pattern} in {parts_dir}")
     parts = _whole_files(spark, parts_dir, max_bytes, pattern)
     named = parts.withColumn("part", F.element_at(F.split("part", "/"), -1))
-    return named.join(read_prefixes(spark, parts_dir), _stem(F.col("part")) == F.col("stem"), "left").select(
+    return named.join(read_prefixes(spark, parts_dir), file_stem(F.col("part")) == F.col("stem"), "left").select(
         "part", "part_number", F.coalesce("prefix", F.lit("")).alias("prefix"), "text"
     )
 
 
-def _stem(name: Column) -> Column:
+def file_stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
@@ -205,7 +205,7 @@ def read_prefixes(spark: SparkSession, parts_dir: str) -> DataFrame:
     """Sidecars of a folder: ``stem, prefix``."""
     sidecars = spark.read.option("pathGlobFilter", "*.prefix").text(parts_dir, wholetext=True)
     return sidecars.select(
-        _stem(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("stem"),
+        file_stem(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("stem"),
         F.regexp_replace("value", r"^\s+|\s+$", "").alias("prefix"),
     )
 

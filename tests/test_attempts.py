@@ -70,7 +70,7 @@ def test_arriving_parts(spark, tmp_path):
 
     def run():
         live.append_parts(live.stream_parts(spark, str(parts)), str(parts), out, f"{state}/a", "s:b", "d:b", "r").awaitTermination()
-        live.keep_latest(live.live_progress(live.stream_manifest(spark, out)), f"{out}_p", f"{state}/p").awaitTermination()
+        live.keep_latest(live.live_progress(live.stream_parts(spark, str(parts))), f"{out}_p", f"{state}/p").awaitTermination()
         batches = spark.read.parquet(f"{out}_p")
         return tuple(batches.orderBy(F.col("batch").desc()).select("files_listed", "bytes_listed").first())
 
