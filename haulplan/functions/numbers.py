@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Leading bits kept by :func:`coarse_size` after the highest one.
-COARSE_BITS = 12
+COARSE_BITS = 10
 
 
 def floor_log2(value: str) -> str:

@@ -120,7 +120,7 @@ def head_floor(sizes: DataFrame, head_limit: int) -> int | None:
     """
     buckets = sizes.groupBy(coarse_size("size").alias("bucket")).agg(F.count("*").alias("files"))
     from_top = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = buckets.withColumn("upto", F.sum("files").over(from_top))  # 4,096 rows per power of two
+    counted = buckets.withColumn("upto", F.sum("files").over(from_top))  # 1,024 rows per power of two
     return counted.where(F.col("upto") <= head_limit).agg(F.min("bucket")).first()[0]
 
 

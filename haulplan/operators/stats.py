@@ -1,6 +1,6 @@
 """Totals, size statistics and exact order statistics, for all records or per group.
 
-One pass folds the sizes into ordered buckets that are 1/4096 of a power of two
+One pass folds the sizes into ordered buckets that are 1/1024 of a power of two
 wide (:func:`size_summary`).  Totals, shares, extremes and histograms come from
 that small table.  An exact percentile then needs one more narrow pass over the
 few buckets that hold a wanted rank.
@@ -42,7 +42,7 @@ def totals(sizes: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 def size_summary(sizes: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """One row per group and size bucket: counts, bytes, extremes and size classes.
 
-    The table is bounded per group (4,096 rows per power of two) and built with
+    The table is bounded per group (1,024 rows per power of two) and built with
     map-side partial sums, so a group or size that holds most rows is no hot spot.
     """
     return sizes.groupBy(*group_cols, coarse_size("size").alias("_bucket")).agg(
@@ -77,8 +77,8 @@ def order_statistics(
     """Exact elements at index ``floor(q * (n - 1))`` of the sorted sizes, one column per quantile.
 
     Only rows of wanted buckets are counted by distinct size.  Such a bucket
-    spans 1/4096 of a power of two, and a listing of 1 EiB can hold no more than
-    ``min(2**(e - 12), 2**(60 - e))`` distinct sizes in it, at most 2**24.
+    spans 1/1024 of a power of two, and a listing of 1 EiB can hold no more than
+    ``min(2**(e - 10), 2**(60 - e))`` distinct sizes in it, at most 2**25.
     """
     summary = size_summary(sizes, group_cols) if summary is None else summary
     wanted = _wanted_ranks(summary, group_cols, quantiles)

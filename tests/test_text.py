@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from haulplan.functions.numbers import ceil_log2, coarse_size, floor_log2, round_half_even
+from haulplan.functions.numbers import COARSE_BITS, ceil_log2, coarse_size, floor_log2, round_half_even
 from haulplan.functions.rates import bytes_per_second, parse_rate, rate_steps
 from haulplan.functions.text import human_bytes, human_rate, human_seconds
 
@@ -96,5 +96,5 @@ def test_coarse_size_is_ordered_and_fine(spark):
     coarse = column(spark, values, "bigint", coarse_size("x"))
     assert coarse == sorted(coarse)
     for value, kept in zip(values, coarse):
-        assert abs(kept) <= abs(value) < max(abs(kept) + 1, abs(kept) * (1 + 2**-12))
-        assert abs(value) >= 8192 or kept == value
+        assert abs(kept) <= abs(value) < max(abs(kept) + 1, abs(kept) * (1 + 2**-COARSE_BITS))
+        assert abs(value) >= 2 ** (COARSE_BITS + 1) or kept == value
