@@ -12,16 +12,17 @@ from haulplan.operators.shards import HEAD_LIMIT, STRATEGIES
 from haulplan.plans import jobs
 from haulplan.schema import MANIFEST, MANIFEST_SCHEMA
 from haulplan.sources import listing, manifests
+from haulplan.staging import stage
 
 
 def _load_manifest(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.format == "parquet":
         return spark.read.schema(MANIFEST).parquet(args.input)
-    return manifests.read_manifest(spark, args.input, [MANIFEST_SCHEMA, *args.accept_schema])
+    return stage(manifests.read_manifest(spark, args.input, [MANIFEST_SCHEMA, *args.accept_schema]), "manifest")
 
 
 def build(spark: SparkSession, args: argparse.Namespace) -> None:
-    objects = listing.read_listing(spark, args.input)
+    objects = listing.read_listing(spark, args.input, form=args.form)
     manifests.write_manifest(jobs.build_manifest(objects, args.source, args.dest, args.run_id), args.out, args.format)
 
 
@@ -48,7 +49,10 @@ def shard(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def analyze(spark: SparkSession, args: argparse.Namespace) -> None:
-    sizes = spark.read.parquet(args.input) if args.format == "parquet" else manifests.read_sizes(spark, args.input)
+    if args.format == "parquet":
+        sizes = spark.read.parquet(args.input)
+    else:
+        sizes = stage(manifests.read_sizes(spark, args.input), "sizes")  # texts are parsed once
     report = jobs.analyze(
         sizes,
         args.group_by,
@@ -66,7 +70,8 @@ def analyze(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def estimate(spark: SparkSession, args: argparse.Namespace) -> None:
-    sizes = totals_input(listing.read_listing(spark, args.input, ordered=False))
+    objects = listing.read_listing(spark, args.input, ordered=False, form=args.form)
+    sizes = stage(totals_input(objects), "sizes")
     mode = None if args.no_hist else args.hist_mode
     result = jobs.estimate(
         sizes, args.min_rate, args.max_rate, args.prefer_units, mode, args.hist_min, args.hist_max, args.hist_bins
@@ -90,7 +95,10 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     for job, place in ((build, "in"), (combine, "parts-dir")):
-        command(job, place, "source", "dest", "out").add_argument("--run-id")
+        sub = command(job, place, "source", "dest", "out")
+        sub.add_argument("--run-id")
+        if job is build:
+            sub.add_argument("--form", choices=["auto", "array", "ndjson"], default="auto", help="form of the listing")
     sub = command(rebase, "in", "out")
     sub.add_argument("--source-root")
     sub.add_argument("--dest-root")
@@ -109,6 +117,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--assumed-core-budget", type=int)
     sub.add_argument("--max-shard-bytes-tb", type=int, default=advise.MAX_SHARD_TIB)
     sub = command(estimate, "in", "min-rate", "max-rate", manifest_format=False)
+    sub.add_argument("--form", choices=["auto", "array", "ndjson"], default="auto", help="form of the listing")
     sub.add_argument("--prefer-units", choices=["Gbps", "MBps"], default="Gbps")
     sub.add_argument("--no-hist", action="store_true")
     sub.add_argument("--hist-mode", choices=["pow2", "log"], default="pow2")

@@ -158,11 +158,18 @@ def array_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return head.groupBy("file").agg(F.min_by(opens_with(F.col("value"), "["), "row").alias("is_array"))
 
 
-def read_listing(spark: SparkSession, paths: str | list[str], ordered: bool = True) -> DataFrame:
+def read_listing(spark: SparkSession, paths: str | list[str], ordered: bool = True, form: str = "auto") -> DataFrame:
     """Files of either form, told apart by their first character.
 
-    Array files come first in ``seq``; use the readers above to skip detection.
+    Array files come first in ``seq``.  Detection reads the files once more, so
+    name the form (``array`` or ``ndjson``) of a large listing if it is known.
     """
+    if form == "array":
+        return read_json_arrays(spark, paths)
+    if form == "ndjson":
+        return read_ndjson(spark, paths, ordered)
+    if form != "auto":
+        raise ValueError(f"form must be auto, array or ndjson: {form!r}")
     forms = array_files(spark, paths).collect()  # one row per listing file
     arrays = [unquote(row.file) for row in forms if row.is_array]
     others = [unquote(row.file) for row in forms if not row.is_array]

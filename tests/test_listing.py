@@ -87,6 +87,12 @@ def test_totals_rules(spark, request, form):
     assert totals(totals_input(objects)).first().asDict() == {"objects": len(LISTED), "bytes_total": sum(LISTED)}
 
 
+def test_named_form(spark, array, ndjson):
+    assert read_listing(spark, array, form="array").count() == read_listing(spark, ndjson, form="ndjson", ordered=False).count()
+    with pytest.raises(ValueError):
+        read_listing(spark, array, form="csv")
+
+
 def test_directory_flags(spark, ndjson):
     rows = read_ndjson(spark, ndjson).select(
         F.try_variant_get("object", "$.Path", "string").alias("p"), is_directory(F.col("object")).alias("strict"),
