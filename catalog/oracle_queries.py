@@ -114,7 +114,7 @@ def sha1_modulo(key: str, divisor: int) -> str:
 
 
 ORACLES["p5_work_list"] = f"WITH {manifest('orders')} SELECT path FROM manifest WHERE {sha1_modulo('source', 16)} = 3"
-ORACLES["p7_first_roots"] = f"SELECT '{SOURCE}' AS source_root, '{DEST}' AS dest_root, 1 AS distinct_roots"
+ORACLES["p7_first_roots"] = f"SELECT '{SOURCE}' AS source_root, '{DEST}' AS dest_root, CAST(1 AS BIGINT) AS distinct_roots"
 ORACLES["f_object_rules"] = f"""WITH {ORDER_FIELDS}
  SELECT seq, dir AS is_directory, dir_any AS is_directory_any_case, path, manifest_size,
   CASE WHEN NOT dir_any THEN any_size END AS listed_size FROM objects"""
@@ -153,7 +153,7 @@ def pow2_bins(name: str, group: str, low: str, high: str) -> str:
  edges AS (SELECT *, unnest(range(a, b)) AS x FROM limits),
  counted AS (SELECT g.dataset, least(greatest(e, a), b - 1) AS x, count(*) AS c, CAST(sum(size) AS BIGINT) AS s
   FROM grouped g JOIN limits l ON g.dataset IS NOT DISTINCT FROM l.dataset GROUP BY ALL),
- bins AS (SELECT d.dataset, d.x - d.a AS bin, CAST(1 AS BIGINT) << d.x AS range_min, CAST(1 AS BIGINT) << (d.x + 1) AS range_max,
+ bins AS (SELECT d.dataset, CAST(d.x - d.a AS INTEGER) AS bin, CAST(1 AS BIGINT) << d.x AS range_min, CAST(1 AS BIGINT) << (d.x + 1) AS range_max,
   d.x = d.b - 1 AS is_last, coalesce(c, 0) AS file_count, coalesce(s, 0) AS bytes, n, total
   FROM edges d LEFT JOIN counted k ON d.dataset IS NOT DISTINCT FROM k.dataset AND d.x = k.x)"""
 
@@ -190,7 +190,7 @@ def log_intervals(name: str, group: str, low: int, high: int, bins: int) -> str:
  counted AS (SELECT g.dataset, least(greatest(len(list_filter(e, lambda x: x <= size)) - 1, 0), {bins} - 1) AS bin, count(*) AS c,
   CAST(sum(size) AS BIGINT) AS s FROM grouped g JOIN edges l ON g.dataset IS NOT DISTINCT FROM l.dataset GROUP BY ALL),
  numbered AS (SELECT *, unnest(range(0, {bins})) AS bin FROM edges),
- bins AS (SELECT d.dataset, d.bin, CAST(floor(e[d.bin + 1]) AS BIGINT) AS range_min, CAST(floor(e[d.bin + 2]) AS BIGINT) AS range_max,
+ bins AS (SELECT d.dataset, CAST(d.bin AS INTEGER) AS bin, CAST(floor(e[d.bin + 1]) AS BIGINT) AS range_min, CAST(floor(e[d.bin + 2]) AS BIGINT) AS range_max,
   d.bin = {bins} - 1 AS is_last, coalesce(c, 0) AS file_count, coalesce(s, 0) AS bytes, n, total
   FROM numbered d LEFT JOIN counted k ON d.dataset IS NOT DISTINCT FROM k.dataset AND d.bin = k.bin),
  hist AS (SELECT dataset, bin, range_min, range_max, {INTERVAL} AS range_label, file_count,
@@ -216,7 +216,7 @@ def report(name: str, group: str) -> str:
     hist = histogram(name, group)[len(sized(name)) + 1 :]
     cap = 10 * 1024**4
     return f"""{profile(name, group)}, {hist},
- binned AS (SELECT dataset, count(*) AS bins, min_by(range_label, bin) AS first_bin, CAST(sum(file_count) AS BIGINT) AS binned_files FROM hist GROUP BY dataset),
+ binned AS (SELECT dataset, CAST(count(*) AS INTEGER) AS bins, min_by(range_label, bin) AS first_bin, CAST(sum(file_count) AS BIGINT) AS binned_files FROM hist GROUP BY dataset),
  report AS (SELECT a.dataset, 'ok' AS status, total_files, total_bytes, {human_bytes('total_bytes')} AS total_bytes_human, min_size,
   {human_bytes('max_size')} AS max_size_human, median_size, {one_decimal('small_files_pct')} AS small_files_pct,
   {one_decimal('large_files_pct')} AS large_files_pct, profile, suggested_flags,
@@ -247,7 +247,8 @@ ORACLES["a7_log_histogram_by_dataset"] = f"WITH {log_intervals('pages', 'dataset
 
 ORACLES["a10_shard_plan"] = f"""WITH {sized('orders')},
  datasets AS (SELECT dataset, CAST(sum(size) AS BIGINT) * 1024 AS total_bytes FROM sized GROUP BY dataset),
- settings(cpus, tasks, cores, cap) AS (VALUES (4, 64, NULL, 10), (4, 64, 40, 10), (8, 2, NULL, 20), (4, 64, 200, 10000)),
+ settings(cpus, tasks, cores, cap) AS (VALUES (CAST(4 AS BIGINT), CAST(64 AS BIGINT), CAST(NULL AS BIGINT), CAST(10 AS BIGINT)),
+  (4, 64, 40, 10), (8, 2, NULL, 20), (4, 64, 200, 10000)),
  bounds AS (SELECT *, cap * 1099511627776 AS cap_bytes, tasks * 4 AS by_tasks, greatest(1, cores // cpus) AS by_cores
   FROM datasets, settings),
  counted AS (SELECT *, (total_bytes + cap_bytes - 1) // cap_bytes AS by_bytes,
