@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.oracle_queries import ORACLES
+from catalog.spark_queries import QUERIES
 from check_oracle import rows_of
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -21,14 +23,15 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) <= set(oracle_sql())
+    assert set(QUERIES) <= set(queries())
 
 
 def test_entry(spark):
     assert entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     frame = queries()[name](spark, SF_DIR)
     result = db.execute(oracle_sql()[name])
