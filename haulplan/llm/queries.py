@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from haulplan.llm import mixing, packing, simhash, token_counts
+import corpus_pipeline
+from haulplan.llm import (
+    exact_substrings,
+    licenses,
+    line_rules,
+    mixing,
+    near_passages,
+    packing,
+    simhash,
+    token_counts,
+    toxicity,
+    vector_search,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_license_scan": licenses.query,
+    "op3_toxicity": toxicity.query,
+    "op4_exact_substrings": exact_substrings.query,
     "op5_source_mixing": mixing.query,
+    "op6_vector_search": vector_search.query,
+    "op7_line_rules": line_rules.query,
+    "op8_near_passages": near_passages.query,
     "op9_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op5_source_mixing": mixing.ORACLE}
+ORACLES = {
+    "op2_license_scan": licenses.ORACLE,
+    "op5_source_mixing": mixing.ORACLE,
+    "op6_vector_search": vector_search.ORACLE,
+}
