@@ -50,16 +50,19 @@ TEMPLATES = {
 }
 
 
-def word_list(text: Column) -> Column:
-    """Words of letters and digits in lower case; no words for a blank text."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(plain, " ", -1))
+def bigram_set(text: Column) -> Column:
+    """Distinct pairs of neighbouring words; words are letters and digits in lower case.
 
+    The words are bound to a lambda's variable, so they are made once a unit.
+    """
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ", -1), lambda w: w != "")
+    none = F.expr("cast(array() as array<string>)")
+
+    def pairs(w: Column) -> Column:
+        pair = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))
+        return F.when(F.size(w) < 2, none).otherwise(F.array_distinct(pair))
 
-def bigrams(words: str) -> Column:
-    """Distinct pairs of neighbouring words."""
-    return F.expr(f"CASE WHEN size({words}) < 2 THEN cast(array() as array<string>) ELSE "
-                  f"array_distinct(transform(sequence(1, size({words}) - 1), i -> concat({words}[i - 1], ' ', {words}[i]))) END")
+    return F.get(F.transform(F.array(words), pairs), 0)
 
 
 def templates_by_size(spark: SparkSession, templates: Mapping[str, str], dice: float) -> DataFrame:
@@ -69,7 +72,7 @@ def templates_by_size(spark: SparkSession, templates: Mapping[str, str], dice: f
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates: {len(templates)}")
     rows = spark.createDataFrame(list(templates.items()), "license string, text string")
-    rows = rows.withColumn("words", word_list(F.col("text"))).withColumn("template", bigrams("words")).where(F.size("template") > 0)
+    rows = rows.select("license", F.explode(F.array(bigram_set(F.col("text")))).alias("template")).where(F.size("template") > 0)
     low = F.ceil(F.size("template") * F.lit(dice / (2 - dice)) - 1e-9).cast("int")
     high = F.floor(F.size("template") * F.lit((2 - dice) / dice) + 1e-9).cast("int")
     return rows.select("license", "template", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("size"))
@@ -90,10 +93,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, dice: float
     text = F.col("text").cast("string")
     lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line", "unit"))
     whole = docs.where(F.instr(text, "\n") > 0).select("doc_id", F.lit(-1).alias("line"), text.alias("unit"))
-    # A unit of n bigrams has n + 1 words with a sign between them at least.
-    units = lines.union(whole).where(F.length("unit") > 2 * bounds["low"]).withColumn("words", word_list(F.col("unit")))
-    units = units.where(F.size("words") > bounds["low"]).select("doc_id", "line", bigrams("words").alias("pairs"))
-    units = units.withColumn("size", F.size("pairs")).where(F.col("size").between(bounds["low"], bounds["high"]))
+    # A unit of n bigrams has n + 1 words with a sign between them at least.  Only sizes in bounds leave the generator.
+    units = lines.union(whole).where(F.length("unit") > 2 * bounds["low"])
+    fits = F.filter(F.array(bigram_set(F.col("unit"))), lambda p: F.size(p).between(bounds["low"], bounds["high"]))
+    units = units.select("doc_id", "line", F.explode(fits).alias("pairs")).withColumn("size", F.size("pairs"))
     met = units.join(F.broadcast(by_size), "size")  # at most MOST_SIZES rows
     common = 2.0 * F.size(F.array_intersect("pairs", "template")) / (F.col("size") + F.size("template"))
     return met.select("doc_id", "line", "license", common.alias("dice")).where(F.col("dice") >= dice)
@@ -119,7 +122,7 @@ WITH t AS (SELECT license, {_sql_bigrams('w')} AS b FROM (SELECT license, {_sql_
 l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(range(0, len(lines)))::INTEGER AS line, unnest(lines) AS unit FROM l
       UNION ALL SELECT doc_id, -1, text FROM l WHERE len(lines) > 1),
-b AS (SELECT doc_id, line, {_sql_bigrams('w')} AS b FROM (SELECT doc_id, line, {_sql_words('unit')} AS w FROM u) x WHERE len(w) BETWEEN 2 AND 200)
+b AS (SELECT doc_id, line, {_sql_bigrams('w')} AS b FROM (SELECT doc_id, line, {_sql_words('unit')} AS w FROM u) x WHERE len(w) > 1)
 SELECT * FROM (
   SELECT doc_id, line, license, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t WHERE len(b.b) > 0)
 WHERE dice >= {DICE}
