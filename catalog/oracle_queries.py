@@ -272,17 +272,14 @@ ORACLES["h2_hash_without_source"] = f"""WITH {manifest('orders')}, keyed AS (SEL
  SELECT seq, CAST({sha1_modulo('key', 97)} AS INTEGER) AS shard_id FROM keyed"""
 
 
-def greedy(name: str, shards: int) -> str:
-    """One record per step, largest first; the list of loads is carried along."""
-    return f"""WITH RECURSIVE {manifest(name)},
- ordered AS MATERIALIZED (SELECT seq, size, row_number() OVER (ORDER BY size DESC, seq) AS r FROM manifest),
- steps AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS shard,
-   list_transform(range(0, {shards}), lambda i: CAST(0 AS BIGINT)) AS loads
-  UNION ALL
-  SELECT o.r, o.seq, o.size, list_position(s.loads, list_min(s.loads)) AS shard,
-   list_transform(s.loads, lambda load, i: CASE WHEN i = list_position(s.loads, list_min(s.loads)) THEN load + o.size ELSE load END)
-  FROM steps s JOIN ordered o ON o.r = s.r + 1),
- placed AS (SELECT seq, size, CAST(shard - 1 AS INTEGER) AS shard_id FROM steps WHERE seq IS NOT NULL)"""
+def dealt(name: str, shards: int, empty: str = "(SELECT i FROM lightest)") -> str:
+    """Records with bytes in descending size, dealt back and forth; the others go to one shard."""
+    return f"""WITH {manifest(name)},
+ ranked AS (SELECT seq, size, row_number() OVER (ORDER BY size DESC, seq) - 1 AS r FROM manifest WHERE size > 0),
+ filled AS (SELECT seq, size, CASE WHEN (r // {shards}) % 2 = 0 THEN r % {shards} ELSE {shards} - 1 - r % {shards} END AS shard FROM ranked),
+ lightest AS (SELECT i FROM range({shards}) t(i) LEFT JOIN filled ON shard = i GROUP BY i ORDER BY coalesce(sum(size), 0), i LIMIT 1),
+ placed AS (SELECT seq, size, CAST(shard AS INTEGER) AS shard_id FROM filled
+  UNION ALL SELECT seq, size, CAST({empty} AS INTEGER) FROM manifest WHERE size IS NULL OR size <= 0)"""
 
 
 def summary(placed: str, shards: int) -> str:
@@ -290,12 +287,11 @@ def summary(placed: str, shards: int) -> str:
  FROM range({shards}) t(i) LEFT JOIN {placed} p ON p.shard_id = i GROUP BY i"""
 
 
-ORACLES["h3_bytes_documents"] = f"{greedy('documents', 8)} SELECT seq, shard_id FROM placed"
-ORACLES["h3_bytes_pages"] = f"{greedy('pages', 12)} SELECT seq, shard_id FROM placed"
-ORACLES["h3_bytes_orders"] = f"{greedy('orders', 64)} {summary('placed', 64)}"
-ORACLES["plan_end_to_end"] = f"{greedy('documents', 8)} {summary('placed', 8)}"
-ORACLES["h3_bytes_bundled"] = f"""WITH {manifest('orders')}
- SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, true AS within_two_percent FROM manifest"""
+ORACLES["h3_bytes_documents"] = f"{dealt('documents', 8)} SELECT seq, shard_id FROM placed"
+ORACLES["h3_bytes_pages"] = f"{dealt('pages', 12)} SELECT seq, shard_id FROM placed"
+ORACLES["h3_bytes_orders"] = f"{dealt('orders', 64)} SELECT seq, shard_id FROM placed"
+ORACLES["plan_end_to_end"] = f"{dealt('documents', 8)} {summary('placed', 8)}"
+ORACLES["h3_bytes_spread"] = f"{dealt('orders', 16, 'seq % 16')} SELECT seq, shard_id FROM placed"
 
 HASHED_PAGES = f"{manifest('pages')}, placed AS (SELECT *, {sha1_modulo('source', 400)} AS shard_id FROM manifest)"
 ORACLES["a8_shard_summary"] = f"WITH {HASHED_PAGES} {summary('placed', 400)}"

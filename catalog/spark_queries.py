@@ -273,20 +273,12 @@ def h3_bytes_pages(spark, sf_dir):
 
 @query
 def h3_bytes_orders(spark, sf_dir):
-    sharded = shards.assign_shards(inputs.manifest(spark, sf_dir, "orders"), 64)
-    return shards.shard_summary(sharded, 64)
+    return shards.assign_shards(inputs.manifest(spark, sf_dir, "orders"), 64).select("seq", "shard_id")
 
 
 @query
-def h3_bytes_bundled(spark, sf_dir):
-    """Balance with a short head, so that most records are placed by bundle."""
-    sharded = shards.assign_shards(inputs.manifest(spark, sf_dir, "orders"), 16, head_limit=256, spread_empty=True)
-    loads = shards.shard_summary(sharded, 16)
-    return loads.agg(
-        F.sum("files").alias("files"),
-        F.sum("bytes").alias("bytes"),
-        (F.max("bytes") * 16 <= F.sum("bytes") * 1.02).alias("within_two_percent"),
-    )
+def h3_bytes_spread(spark, sf_dir):
+    return shards.assign_shards(inputs.manifest(spark, sf_dir, "orders"), 16, spread_empty=True).select("seq", "shard_id")
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulplan.operators import advise
 from haulplan.operators.normalize import totals_input
-from haulplan.operators.shards import HEAD_LIMIT, STRATEGIES
+from haulplan.operators.shards import STRATEGIES
 from haulplan.plans import jobs
 from haulplan.schema import MANIFEST, MANIFEST_SCHEMA
 from haulplan.sources import listing, manifests
@@ -44,7 +44,7 @@ def rebase(spark: SparkSession, args: argparse.Namespace) -> None:
 def shard(spark: SparkSession, args: argparse.Namespace) -> None:
     manifest = _load_manifest(spark, args)
     jobs.shard_manifest(
-        manifest, args.outdir, args.num_shards, args.strategy, args.head_limit, args.spread_empty, source=args.input
+        manifest, args.outdir, args.num_shards, args.strategy, args.spread_empty, source=args.input
     )
 
 
@@ -105,7 +105,6 @@ def parser() -> argparse.ArgumentParser:
     sub = command(shard, "in", "outdir")
     sub.add_argument("--num-shards", type=int, required=True)
     sub.add_argument("--strategy", choices=STRATEGIES, default="bytes")
-    sub.add_argument("--head-limit", type=int, default=HEAD_LIMIT)
     sub.add_argument("--spread-empty", action="store_true")
     sub.add_argument("--accept-schema", action="append", default=[], help="further schema name to accept")
     sub = command(analyze, "in")

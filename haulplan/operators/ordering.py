@@ -9,6 +9,8 @@ deterministic, hence safe to recompute after a lost executor.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,10 +79,12 @@ def number_within(rows: DataFrame, group: Sequence[str], pieces: Sequence[Column
     cut_rows = rows.withColumns(cut)
     counts = cut_rows.groupBy(keys).agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*group).orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, _sum_or_zero("_rows", before).alias("_start"))
+    other = {key: f"_of_{key}" for key in keys}
+    starts = counts.select(*[F.col(key).alias(alias) for key, alias in other.items()], _sum_or_zero("_rows", before).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(keys).orderBy(*order)) - 1
-    numbered = cut_rows.withColumn("_inside", inside).join(starts, keys)
-    return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop(*cut, "_inside", "_start")
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(alias)) for key, alias in other.items()])
+    numbered = cut_rows.withColumn("_inside", inside).join(starts, same)
+    return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop(*cut, *other.values(), "_inside", "_start")
 
 
 def largest(manifest: DataFrame, count: int) -> DataFrame:

@@ -1,58 +1,34 @@
 """Assignment of manifest records to shards: by count, by key hash, by bytes.
 
-By bytes means longest processing time first: records in descending size, each
-to the shard with the fewest bytes so far.  That rule is sequential by nature,
-so it runs exactly on a bounded head of the largest records.  Everything below
-the head is folded into hash bundles, whose byte totals are placed by the same
-rule; a record then finds its shard by looking up its bundle.  No record is
-shuffled for the assignment, and as long as the head covers all records with a
-size the result is the exact one.
+By bytes means largest first, dealt back and forth: records in descending size go
+to shards 0, 1, ..., n-1, n-1, ..., 1, 0, 0, 1 and so on.  Every round trip gives each
+shard two records, so the loads of two shards never differ by more than the largest
+size.  One rule holds at every size: a record's place in the order comes from counts
+of size buckets, sizes and stretches of ``seq``, never from a sort in one task.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulplan.functions.numbers import coarse_size
 from haulplan.operators.ordering import CHUNK_SHIFT, number_within, record_index
+from haulplan.staging import stage
 
 STRATEGIES = ("bytes", "count", "hash")
 
-#: Upper limit for the number of shards; bounds every per-shard table.
-MAX_SHARDS = 2**16
-
-#: Records placed one by one (at least 16 per shard).
-HEAD_LIMIT = 200_000
-HEAD_PER_SHARD = 16
-
-#: Bundles per shard in each of three tiers.  Of the hashed records 56/64 go to
-#: the first tier, 7/64 to the second and 1/64 to the third, so bundles get
-#: lighter by tier and the light ones even out the rest.
-BUNDLES_PER_SHARD = 16
-MIN_BUNDLES = 4096
-
-#: Rows of a two-column lookup table that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 2**20
-
-
 def check_shards(num_shards: int, strategy: str = "bytes") -> None:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}: {strategy!r}")
-    if not 1 <= num_shards <= MAX_SHARDS:
-        raise ValueError(f"number of shards must be 1 to {MAX_SHARDS}: {num_shards}")
+    if num_shards < 1:
+        raise ValueError(f"number of shards must be at least 1: {num_shards}")
 
 
 def assign_shards(
     manifest: DataFrame,
     num_shards: int,
     strategy: str = "bytes",
-    head_limit: int = HEAD_LIMIT,
     spread_empty: bool = False,
 ) -> DataFrame:
     """Add ``shard_id``.  An empty manifest is an error.
@@ -67,7 +43,7 @@ def assign_shards(
         return shard_by_count(manifest, num_shards)
     if strategy == "hash":
         return shard_by_hash(manifest, num_shards)
-    return shard_by_bytes(manifest, num_shards, head_limit, spread_empty)
+    return shard_by_bytes(manifest, num_shards, spread_empty)
 
 
 def shard_by_count(manifest: DataFrame, num_shards: int) -> DataFrame:
@@ -99,85 +75,47 @@ def shard_by_hash(manifest: DataFrame, num_shards: int) -> DataFrame:
     return manifest.withColumn("shard_id", sha1_modulo(key, num_shards).cast("int")).drop("index")
 
 
-def place_greedily(weights: Iterable[int], loads: list[int]) -> list[int]:
-    """Shard of each weight, in the given order; ``loads`` is brought up to date."""
-    heap = [(load, shard) for shard, load in enumerate(loads)]
-    heapq.heapify(heap)
-    placed = []
-    for weight in weights:
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + weight, shard))
-        placed.append(shard)
-    for load, shard in heap:
-        loads[shard] = load
-    return placed
-
-
-def head_floor(sizes: DataFrame, head_limit: int) -> int | None:
-    """Smallest size of the head: whole size buckets from the top, at most ``head_limit`` records.
+def size_rank(manifest: DataFrame) -> DataFrame:
+    """Add ``rank``: the 0-based place of each record with bytes in descending size, then ``seq``.
 
-    Null when even the topmost bucket is larger than the limit.
+    Three levels: buckets of sizes (1,024 per power of two), sizes inside a bucket,
+    stretches of ``seq`` inside a size.  Records equal in size and ``seq`` are told
+    apart by their path.
     """
-    buckets = sizes.groupBy(coarse_size("size").alias("bucket")).agg(F.count("*").alias("files"))
-    from_top = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = buckets.withColumn("upto", F.sum("files").over(from_top))  # 1,024 rows per power of two
-    return counted.where(F.col("upto") <= head_limit).agg(F.min("bucket")).first()[0]
-
-
-def bundle_of(seq: Column, bundles: int) -> Column:
-    """Bundle number of a record, by the hash of its ``seq``."""
-    hashed = F.xxhash64(seq)
-    lot = F.pmod(hashed, F.lit(64))
-    tier = F.when(lot == 0, 2).when(lot < 8, 1).otherwise(0)
-    return (tier * bundles + F.pmod(F.shiftright(hashed, 6), F.lit(bundles))).cast("int")
-
-
-def _lookup(manifest: DataFrame, keys: np.ndarray, shards: list[int], key_type: pa.DataType, name: str) -> DataFrame:
-    """Small table ``key, <name>``, broadcast while its row count is within the limit."""
-    table = pa.table({"key": pa.array(keys, key_type), name: pa.array(shards, pa.int32())})
-    lookup = manifest.sparkSession.createDataFrame(table)
-    return F.broadcast(lookup) if table.num_rows <= BROADCAST_ROWS else lookup
-
-
-def shard_by_bytes(
-    manifest: DataFrame, num_shards: int, head_limit: int = HEAD_LIMIT, spread_empty: bool = False
-) -> DataFrame:
-    """Balance bytes over shards.
-
-    Largest shard: at most ``max(largest head load, mean + heaviest bundle)``.
-    Records without bytes all go to the lightest shard, as the rule has it, or
-    are dealt by ``seq`` with ``spread_empty``.
+    rows = manifest.withColumns({"_bucket": -coarse_size("size"), "_stretch": F.shiftright("seq", CHUNK_SHIFT)})
+    pieces = stage(rows.groupBy("_bucket", "size", "_stretch").agg(F.count("*").alias("_rows")), "sizes")
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = pieces.groupBy("_bucket").agg(F.sum("_rows").alias("_rows"))
+    buckets = buckets.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_bucket").orderBy(F.col("size").desc(), "_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("_bucket", "size", "_stretch", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_start"))
+    starts = starts.join(buckets, "_bucket").select("size", F.col("_stretch").alias("_of"), (F.col("_first") + F.col("_start")).alias("_start"))
+    ties = [name for name in ("source", "path") if name in manifest.columns]
+    place = F.row_number().over(Window.partitionBy("size", "_stretch").orderBy("seq", *ties)) - 1
+    placed = rows.withColumn("_place", place)
+    starts = stage(starts.withColumnRenamed("size", "_size"), "starts")
+    same = (F.col("size") == F.col("_size")) & F.col("_stretch").eqNullSafe(F.col("_of"))
+    joined = placed.join(starts, same).drop("_size")
+    return joined.withColumn("rank", F.col("_start") + F.col("_place")).drop("_bucket", "_stretch", "_of", "_start", "_place")
+
+
+def shard_by_bytes(manifest: DataFrame, num_shards: int, spread_empty: bool = False) -> DataFrame:
+    """Balance bytes over shards: no two loads differ by more than the largest size.
+
+    Records without bytes all go to the lightest shard, the first of equals, or are
+    dealt by ``seq`` with ``spread_empty``.
     """
-    head_limit = max(HEAD_PER_SHARD * num_shards, head_limit)
-    bundles = max(BUNDLES_PER_SHARD * num_shards, MIN_BUNDLES)
-    sizes = manifest.select("seq", "size").where(F.col("size") > 0)
-    floor = head_floor(sizes, head_limit)
-    loads = [0] * num_shards
-    result, shard = manifest, F.lit(None).cast("int")
-    if floor is not None:
-        head = sizes.where(F.col("size") >= floor).toArrow()  # at most head_limit rows of two numbers
-        seqs, weights = head["seq"].to_numpy(), head["size"].to_numpy()
-        order = np.lexsort((seqs, -weights))
-        placed = place_greedily(weights[order].tolist(), loads)
-        lookup = _lookup(manifest, seqs[order], placed, pa.int64(), "head_shard").withColumnRenamed("key", "head_seq")
-        result = result.join(lookup, F.col("seq") == F.col("head_seq"), "left").drop("head_seq")
-        shard = F.col("head_shard")
-    tail = sizes if floor is None else sizes.where(F.col("size") < floor)
-    if floor is None or floor > 1:
-        totals = tail.groupBy(bundle_of(F.col("seq"), bundles).alias("bundle")).agg(F.sum("size").alias("bytes"))
-        sums = totals.toArrow()  # at most 3 * bundles rows of two numbers
-        numbers, weights = sums["bundle"].to_numpy(), sums["bytes"].to_numpy()
-        order = np.lexsort((numbers, -weights))
-        placed = place_greedily(weights[order].tolist(), loads)
-        lookup = _lookup(manifest, numbers[order], placed, pa.int32(), "bundle_shard").withColumnRenamed("key", "bundle")
-        in_tail = (F.col("size") > 0) if floor is None else F.col("size").between(1, floor - 1)
-        result = result.join(
-            lookup, (F.when(in_tail, bundle_of(F.col("seq"), bundles)) == F.col("bundle")), "left"
-        ).drop("bundle")
-        shard = F.coalesce(shard, F.col("bundle_shard"))
-    lightest = F.lit(loads.index(min(loads)))
-    empty = F.pmod("seq", F.lit(num_shards)) if spread_empty else lightest
-    return result.withColumn("shard_id", F.coalesce(shard, empty).cast("int")).drop("head_shard", "bundle_shard")
+    ranked = size_rank(manifest.where(F.col("size") > 0))
+    turn, step = F.floor(F.col("rank") / num_shards), F.col("rank") % num_shards
+    placed = ranked.withColumn("shard_id", F.when(turn % 2 == 0, step).otherwise(num_shards - 1 - step).cast("int")).drop("rank")
+    empty = manifest.where(F.col("size").isNull() | (F.col("size") <= 0))
+    if spread_empty:
+        return placed.unionByName(empty.withColumn("shard_id", F.pmod("seq", F.lit(num_shards)).cast("int")))
+    # Without a gap in the shards used, the lightest is the first of the least load; one row is read.
+    loads = placed.groupBy("shard_id").agg(F.sum("size").alias("bytes"))
+    used = loads.agg(F.count("*").alias("shards"), F.min(F.struct("bytes", "shard_id")).alias("least")).first()
+    lightest = used["shards"] if used["shards"] < num_shards else used["least"]["shard_id"]
+    return placed.unionByName(empty.withColumn("shard_id", F.lit(lightest).cast("int")))
 
 
 def shard_summary(sharded: DataFrame, num_shards: int) -> DataFrame:

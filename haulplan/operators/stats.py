@@ -44,7 +44,9 @@ def size_summary(sizes: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 
     The table is bounded per group (1,024 rows per power of two) and built with
     map-side partial sums, so a group or size that holds most rows is no hot spot.
+    A missing size counts as 0.
     """
+    sizes = sizes.withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))
     return sizes.groupBy(*group_cols, coarse_size("size").alias("_bucket")).agg(
         F.expr("count(*) AS _files"),
         F.expr("sum(size) AS _bytes"),
@@ -89,7 +91,8 @@ def order_statistics(
         buckets = wanted.select(keys).distinct()
     else:
         buckets = F.broadcast(wanted.select(keys).distinct())  # one row per quantile
-    rows = sizes.select(*group_cols, "size", coarse_size("size").alias("_bucket"))
+    known = sizes.select(*group_cols, F.coalesce("size", F.lit(0).cast("bigint")).alias("size"))
+    rows = known.select(*group_cols, "size", coarse_size("size").alias("_bucket"))
     counted = rows.join(buckets, same_keys(rows, buckets, keys), "left_semi").groupBy(*keys, "size").agg(F.count("*").alias("_files"))
     upto = F.sum("_files").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
     counted = counted.select(*keys, "size", "_files", upto.alias("_upto"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulplan.functions.rates import parse_rate, rate_steps
+from haulplan.functions.rates import parse_rate
 from haulplan.functions.text import human_rate, human_seconds
 
 
@@ -21,14 +21,9 @@ def _at_rate(totals: DataFrame, rate: str, prefer_units: str) -> DataFrame:
 
 
 def time_table(totals: DataFrame, min_rate: str, max_rate: str, prefer_units: str = "Gbps") -> DataFrame:
-    """Seven geometric rate steps per row of totals (``bytes_total``); none for a zero rate.
-
-    The steps are literals of the plan, so the rows are multiplied in place.
-    """
-    rates = rate_steps(parse_rate(min_rate), parse_rate(max_rate))
-    steps = F.array(*[F.lit(rate) for rate in rates]).cast("array<double>")
-    stepped = totals.select("*", F.posexplode(steps).alias("step", "assumed"))
-    return _at_rate(stepped, "assumed", prefer_units).drop("assumed")
+    """Seven geometric rate steps per row of totals (``bytes_total``); none for a zero rate."""
+    ends = {"min_rate": F.lit(parse_rate(min_rate)), "max_rate": F.lit(parse_rate(max_rate))}
+    return time_steps_for(totals.withColumns(ends), prefer_units).drop(*ends)
 
 
 def time_range(totals: DataFrame, min_rate: str, max_rate: str, prefer_units: str = "Gbps") -> DataFrame:

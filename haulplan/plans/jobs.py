@@ -12,7 +12,7 @@ from haulplan.functions.numbers import round_half_even
 from haulplan.functions.text import human_bytes
 from haulplan.operators import advise, normalize
 from haulplan.operators.histogram import DEFAULT_MAX, DEFAULT_MIN, histogram, log_histogram, range_histogram
-from haulplan.operators.shards import HEAD_LIMIT, assign_shards
+from haulplan.operators.shards import assign_shards
 from haulplan.operators.stats import same_keys, size_stats, size_summary, totals
 from haulplan.operators.transfer_time import time_range, time_table
 from haulplan.sources import listing, manifests
@@ -61,12 +61,11 @@ def shard_manifest(
     outdir: str,
     num_shards: int,
     strategy: str = "bytes",
-    head_limit: int = HEAD_LIMIT,
     spread_empty: bool = False,
     source: str = "",
 ) -> DataFrame:
     """Assign and write shards under ``outdir/shards``, metadata under ``outdir/metadata``."""
-    sharded = assign_shards(manifest, num_shards, strategy, head_limit, spread_empty)
+    sharded = stage(assign_shards(manifest, num_shards, strategy, spread_empty), "sharded")
     write_shards(sharded, f"{outdir}/shards", num_shards, strategy)
     write_shard_metadata(sharded, f"{outdir}/metadata", num_shards, strategy, source, outdir)
     return sharded

@@ -26,8 +26,12 @@ PART_SHIFT = 31
 #: Start of a file name that Spark spells in two ways (``file:/x``, ``file:///x``).
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
-#: Mark put behind a text before it is parsed.
-END_MARK = "~end of text~"
+#: White space of JSON.
+BLANKS = " \t\r\n"
+
+
+def is_blank(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS)) == ""
 
 
 def with_json(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -35,14 +39,18 @@ def with_json(rows: DataFrame, text: str, name: str) -> DataFrame:
 
     Spark's parser stops behind the first value and would pass over anything
     that follows.  The text is therefore read as the first element of an array
-    that ends with a mark, and counts only if the mark is the second element.
+    that ends with a mark, and counts only if the mark is the second element.  The
+    mark is a hash of the text, so no text can hold its own.  Of repeated keys in
+    an object the last one counts, for which a setting of the session is needed.
 
     The value is handed on by ``explode``, behind which no filter is moved, so
     that a text is parsed once however often the value is used.
     """
-    elements = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f',"{END_MARK}"]'))), "$", "array<variant>")
+    rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    sign = F.md5(F.encode(F.col(text), "UTF-8"))
+    elements = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(',"'), sign, F.lit('"]'))), "$", "array<variant>")
     mark = F.try_variant_get(F.get("_elements", F.lit(1)), "$", "string")
-    value = F.when((F.size("_elements") == 2) & (mark == END_MARK), F.get("_elements", F.lit(0)))
+    value = F.when((F.size("_elements") == 2) & (mark == sign), F.get("_elements", F.lit(0)))
     return rows.withColumn("_elements", elements).withColumn(name, F.explode(F.array(value))).drop("_elements")
 
 
@@ -52,7 +60,7 @@ def is_object(value: Column) -> Column:
 
 def opens_with(text: Column, bracket: str) -> Column:
     """Whether the first character that is no JSON blank is ``bracket``."""
-    return F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit(bracket))
+    return F.startswith(F.ltrim(text, F.lit(BLANKS)), F.lit(bracket))
 
 
 def explode_arrays(parts: DataFrame) -> DataFrame:
@@ -73,11 +81,12 @@ def _files(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
 
 
-def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pattern: str = "*") -> DataFrame:
+def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pattern: str = "*", refuse: bool = True) -> DataFrame:
     """``part, part_number, text`` of files read whole, in the order of their paths.
 
     The file names come from the plan of the scan.  Empty files give no row in a
-    scan, so they are added from there with an empty text.
+    scan, so they are added from there with an empty text.  A file above the limit
+    is refused, or else has a null text.
     """
     files = _files(spark, paths, pattern)
     names = sorted((re.sub(SCHEME, "", name) for name in files.inputFiles()), key=unquote)
@@ -87,7 +96,7 @@ def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pa
         F.col("_metadata.file_path"),
         F.col("_metadata.file_size"),
     )
-    refused = F.raise_error(too_large).cast("string")
+    refused = F.raise_error(too_large).cast("string") if refuse else F.lit(None).cast("string")
     text = F.when(F.col("_metadata.file_size") <= max_bytes, F.col("value")).otherwise(refused)
     part = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "").alias("part")
     texts = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=True).select(part, text.alias("text"))
@@ -106,7 +115,7 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str], max_bytes: int
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parse the column ``value``; blank lines are skipped, bad JSON fails, non-objects are dropped."""
-    parsed = with_json(lines.where(F.trim("value") != ""), "value", "object")
+    parsed = with_json(lines.where(~is_blank(F.col("value"))), "value", "object")
     refused = F.raise_error(F.concat(F.lit("not JSON: "), F.col("value"))).cast("boolean")
     is_kept = F.when(F.col("object").isNull(), refused).otherwise(opens_with(F.col("value"), "{"))
     return parsed.where(is_kept).drop("value")
@@ -154,7 +163,7 @@ def read_ndjson(spark: SparkSession, paths: str | list[str], ordered: bool = Tru
 
 def array_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: ``file`` and whether its first non-blank character opens an array."""
-    head = _lines(spark, paths).where((F.col("block") == 0) & (F.trim("value") != ""))
+    head = _lines(spark, paths).where((F.col("block") == 0) & ~is_blank(F.col("value")))
     return head.groupBy("file").agg(F.min_by(opens_with(F.col("value"), "["), "row").alias("is_array"))
 
 
@@ -197,7 +206,7 @@ def read_parts(
     """
     if not _files(spark, parts_dir, pattern).inputFiles():
         raise FileNotFoundError(f"no part files {pattern} in {parts_dir}")
-    parts = _whole_files(spark, parts_dir, max_bytes, pattern)
+    parts = _whole_files(spark, parts_dir, max_bytes, pattern, refuse=False)
     named = parts.withColumn("part", F.element_at(F.split("part", "/"), -1))
     return named.join(read_prefixes(spark, parts_dir), file_stem(F.col("part")) == F.col("stem"), "left").select(
         "part", "part_number", F.coalesce("prefix", F.lit("")).alias("prefix"), "text"
@@ -220,11 +229,11 @@ def read_prefixes(spark: SparkSession, parts_dir: str) -> DataFrame:
 def split_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed parts and rejected parts (``part, reason``).
 
-    A part that is no JSON, or no array, is left out and reported.
+    A part that is no JSON, no array, or too large to be read, is left out and reported.
     """
     parsed = with_json(parts, "text", "array")
-    is_array = opens_with(F.col("text"), "[") & F.col("array").isNotNull()
+    is_array = F.coalesce(opens_with(F.col("text"), "["), F.lit(False)) & F.col("array").isNotNull()
     good = parsed.where(is_array).drop("text")
-    reason = F.when(F.col("array").isNull(), "not JSON").otherwise("not a JSON array")
+    reason = F.when(F.col("text").isNull(), "too large").when(F.col("array").isNull(), "not JSON").otherwise("not a JSON array")
     rejected = parsed.where(~is_array).select("part", reason.alias("reason"))
     return good, rejected

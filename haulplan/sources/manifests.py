@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from haulplan.operators.normalize import STRING_MAP, field, join_root, size_or_skip, size_or_zero
 from haulplan.schema import MANIFEST_COLUMNS, MANIFEST_SCHEMA
-from haulplan.sources.listing import opens_with, read_ndjson, with_json
+from haulplan.sources.listing import is_blank, opens_with, read_ndjson, with_json
 
 
 def _check_schema(schema: Column, accepted: Sequence[str]) -> Column:
@@ -42,7 +42,7 @@ def read_manifest(spark: SparkSession, paths: str | list[str], accepted: Sequenc
 
 def sizes_of_lines(lines: DataFrame) -> DataFrame:
     """Sizes of manifest lines (``value``), leaving out lines and sizes that cannot be read."""
-    parsed = with_json(lines.where(F.trim("value") != ""), "value", "object")
+    parsed = with_json(lines.where(~is_blank(F.col("value"))), "value", "object")
     sizes = parsed.where(F.col("object").isNotNull() & opens_with(F.col("value"), "{")).select(size_or_skip(field(F.col("object"), "size")).alias("size"))
     return sizes.where(F.col("size").isNotNull())
 

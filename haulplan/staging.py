@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def staging_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A session on ``local`` without that setting gets a temporary folder; on a
+    A session on ``local`` or ``local[n]`` without that setting gets a temporary folder; on a
     cluster a missing setting is an error, because no machine-local folder is
     visible to every executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="haulplan-")
     spark.sparkContext.setCheckpointDir(root)

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from haulplan.functions.numbers import COARSE_BITS, ceil_log2, coarse_size, floor_log2, round_half_even
-from haulplan.functions.rates import bytes_per_second, parse_rate, rate_steps
+from haulplan.functions.rates import bytes_per_second, parse_rate
 from haulplan.functions.text import human_bytes, human_rate, human_seconds
 
 
@@ -74,14 +74,6 @@ def test_bad_rates_fail(spark, text):
         column(spark, [text], "string", bytes_per_second(F.col("x")))
 
 
-def test_rate_steps():
-    assert rate_steps(5.0, 5.0) == [5.0]
-    assert rate_steps(0.0, 5.0) == [] and rate_steps(5.0, -1.0) == []
-    steps = rate_steps(64.0, 1.0)
-    assert len(steps) == 7 and steps[0] == 1.0
-    assert steps == pytest.approx([1, 2, 4, 8, 16, 32, 64])
-
-
 def test_logarithms_are_exact(spark):
     values = [v for e in range(1, 62) for v in (2**e - 1, 2**e, 2**e + 1)] + [-3, 0, 1]
     low = column(spark, values, "bigint", F.expr(floor_log2("x")))
