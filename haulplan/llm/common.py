@@ -28,6 +28,14 @@ def find_package(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
+def discard(staged: DataFrame) -> None:
+    """Remove a written intermediate table that no later step reads."""
+    spark = staged.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in staged.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a batch in runs of at most ``limit`` bytes of text: first row, end row, UTF-8 bytes, text bounds.
 
