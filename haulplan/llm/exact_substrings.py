@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulplan.llm.common import BYTE_VALUES, find_package, mix, powers, table, text_slices
+from haulplan.llm.common import BYTE_VALUES, discard, find_package, mix, powers, table, text_slices
 from haulplan.staging import stage
 
 LENGTH = 400
@@ -177,6 +177,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     where = [*_KEY, "first", "starts", "anchor"]
     repeated, mixed = refine(found, where)
     results = [stage(repeated.select(*_KEY, "first", "starts"), "repeated")]
+    discard(found)  # its repeated cores are written
     wanted = stage(mixed, "mixed").withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_key")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
     part = F.expr(f"substring(cast(text as binary), first + 1, starts + {length - 1})")
