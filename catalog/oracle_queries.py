@@ -114,7 +114,8 @@ def sha1_modulo(key: str, divisor: int) -> str:
 
 
 ORACLES["p5_work_list"] = f"WITH {manifest('orders')} SELECT path FROM manifest WHERE {sha1_modulo('source', 16)} = 3"
-ORACLES["p7_first_roots"] = f"SELECT '{SOURCE}' AS source_root, '{DEST}' AS dest_root, CAST(1 AS BIGINT) AS distinct_roots"
+ORACLES["p7_first_roots"] = f"""WITH {manifest('orders')} SELECT arg_min(source_root, seq) AS source_root,
+ arg_min(dest_root, seq) AS dest_root, count(DISTINCT (source_root, dest_root)) AS distinct_roots FROM manifest"""
 ORACLES["f_object_rules"] = f"""WITH {ORDER_FIELDS}
  SELECT seq, dir AS is_directory, dir_any AS is_directory_any_case, path, manifest_size,
   CASE WHEN NOT dir_any THEN any_size END AS listed_size FROM objects"""
@@ -302,6 +303,11 @@ ORACLES["k2_shard_positions"] = f"""WITH {manifest('orders')}, dealt AS (
   SELECT seq, size, CAST((row_number() OVER (ORDER BY seq) - 1) % 7 AS INTEGER) AS shard_id FROM manifest)
  SELECT seq, shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY seq) - 1 AS shard_pos,
   row_number() OVER (PARTITION BY shard_id ORDER BY size DESC, seq) - 1 AS pos_by_size FROM dealt"""
+ORACLES["k2_file_per_shard"] = f"""WITH {manifest('documents')}, placed AS (
+  SELECT seq, path, CAST({sha1_modulo('source', 40)} AS INTEGER) AS shard_id FROM manifest)
+ SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY seq) - 1 AS shard_pos, seq, path FROM placed"""
+ORACLES["k2_one_shard_positions"] = f"""WITH {manifest('orders')}
+ SELECT seq, row_number() OVER (ORDER BY size DESC, seq) - 1 AS shard_pos FROM manifest"""
 ORACLES["k3_shard_metadata"] = f"""WITH {manifest('pages')}
  SELECT '{SHARDS_SCHEMA}' AS schema, 'pages' AS input, 'out' AS outdir, CAST(400 AS BIGINT) AS num_shards, 'hash' AS strategy,
   count(*) AS num_records, CAST(sum(size) AS BIGINT) AS bytes_total FROM manifest"""

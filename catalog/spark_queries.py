@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog import inputs
@@ -310,6 +310,24 @@ def k2_shard_positions(spark, sf_dir):
     return shards.shard_positions(by_size, "count").select("seq", "shard_id", "shard_pos", "pos_by_size")
 
 
+@query
+def k2_one_shard_positions(spark, sf_dir):
+    sharded = inputs.manifest(spark, sf_dir, "orders").withColumn("shard_id", F.lit(0))
+    return shards.shard_positions(sharded, "bytes").select("seq", "shard_pos")
+
+
+@query
+def k2_file_per_shard(spark, sf_dir):
+    sharded = shards.assign_shards(inputs.manifest(spark, sf_dir, "documents"), 40, "hash")
+    path = staging_path(spark, "shards")
+    shard_files.write_shards(sharded, path, 40, "hash", one_file_per_shard=True)
+    line = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    files = spark.read.text(path).select("_metadata.file_path", "value", line.alias("line"))
+    records = files.select("file_path", "line", F.from_json("value", "seq bigint, path string").alias("r"))
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("line")) - 1
+    return records.select(F.regexp_extract("file_path", r"shard_id=(\d+)/", 1).cast("int").alias("shard_id"), place.alias("shard_pos"), "r.seq", "r.path")
+
+
 @query
 def k3_shard_metadata(spark, sf_dir):
     sharded = shards.assign_shards(inputs.manifest(spark, sf_dir, "pages"), 400, "hash")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haulplan.operators import advise
+from haulplan.operators.attempts import MAX_ATTEMPTS, pending_work, retry_plan, shard_status
 from haulplan.operators.normalize import totals_input
 from haulplan.operators.shards import STRATEGIES
 from haulplan.plans import jobs
-from haulplan.schema import MANIFEST, MANIFEST_SCHEMA
+from haulplan.schema import MANIFEST, MANIFEST_SCHEMA, SHARDED
 from haulplan.sources import listing, manifests
+from haulplan.sources.shard_files import read_shards
 from haulplan.staging import stage
 
 
@@ -43,11 +46,34 @@ def rebase(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def shard(spark: SparkSession, args: argparse.Namespace) -> None:
     manifest = _load_manifest(spark, args)
+    _write_shards(manifest, args)
+
+
+def _write_shards(manifest: DataFrame, args: argparse.Namespace) -> None:
     jobs.shard_manifest(
-        manifest, args.outdir, args.num_shards, args.strategy, args.spread_empty, source=args.input
+        manifest, args.outdir, args.num_shards, args.strategy, args.spread_empty, args.input, args.one_file_per_shard
     )
 
 
+def plan(spark: SparkSession, args: argparse.Namespace) -> None:
+    objects = listing.read_listing(spark, args.input, form=args.form)
+    _write_shards(stage(jobs.build_manifest(objects, args.source, args.dest, args.run_id), "manifest"), args)
+
+
+def status(spark: SparkSession, args: argparse.Namespace) -> None:
+    shards = spark.read.schema("shard_id int, files bigint, bytes bigint").json(f"{args.outdir}/metadata/summary")
+    attempts = spark.read.schema("shard_id int, attempt bigint, rc bigint").json(args.attempts)
+    found = stage(retry_plan(shard_status(shards, attempts), args.max_attempts), "status")
+    if args.pending:
+        sharded = read_shards(spark, f"{args.outdir}/shards", SHARDED)
+        manifests.write_manifest(pending_work(sharded, found).drop("shard_id"), args.pending, "json")
+    if args.out:
+        found.write.json(args.out)
+    else:
+        for row in found.groupBy("status", "action").agg(F.count("*").alias("shards")).orderBy("status", "action").collect():
+            print(row.status, row.action, row.shards)
+
+
 def analyze(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.format == "parquet":
         sizes = spark.read.parquet(args.input)
@@ -102,11 +128,21 @@ def parser() -> argparse.ArgumentParser:
     sub = command(rebase, "in", "out")
     sub.add_argument("--source-root")
     sub.add_argument("--dest-root")
-    sub = command(shard, "in", "outdir")
-    sub.add_argument("--num-shards", type=int, required=True)
-    sub.add_argument("--strategy", choices=STRATEGIES, default="bytes")
-    sub.add_argument("--spread-empty", action="store_true")
-    sub.add_argument("--accept-schema", action="append", default=[], help="further schema name to accept")
+    for job, more in ((shard, ()), (plan, ("source", "dest"))):
+        sub = command(job, "in", "outdir", *more, manifest_format=job is shard)
+        sub.add_argument("--num-shards", type=int, required=True)
+        sub.add_argument("--strategy", choices=STRATEGIES, default="bytes")
+        sub.add_argument("--spread-empty", action="store_true")
+        sub.add_argument("--one-file-per-shard", action="store_true", help="one file, maybe empty, for every shard number")
+        if job is shard:
+            sub.add_argument("--accept-schema", action="append", default=[], help="further schema name to accept")
+        else:
+            sub.add_argument("--run-id")
+            sub.add_argument("--form", choices=["auto", "array", "ndjson"], default="auto", help="form of the listing")
+    sub = command(status, "outdir", "attempts", manifest_format=False)
+    sub.add_argument("--max-attempts", type=int, default=MAX_ATTEMPTS)
+    sub.add_argument("--pending", help="folder for the records that are still to be copied")
+    sub.add_argument("--out", help="folder for the status of every shard; else counts are printed")
     sub = command(analyze, "in")
     sub.add_argument("--out")
     sub.add_argument("--group-by", action="append", default=[], help="column to analyze by (parquet manifests)")

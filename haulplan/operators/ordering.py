@@ -70,20 +70,31 @@ def record_index(manifest: DataFrame, shift: int = CHUNK_SHIFT) -> DataFrame:
 def number_within(rows: DataFrame, group: Sequence[str], pieces: Sequence[Column], order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: the 0-based position of each row in its group, also for groups of any size.
 
-    ``pieces`` cut a group into stretches that follow the order.  Rows are
-    numbered inside their piece, and moved by the number of rows in the pieces
-    before it, which is summed over one row per piece.
+    ``pieces`` cut a group into stretches that follow the order, the first one
+    coarsely, each further one finer.  Rows are numbered inside their piece, and
+    moved by the number of rows in the pieces before it.  That is summed in two
+    levels, over the coarse pieces of a group and inside a coarse piece, so no
+    task sees all pieces of a group.
     """
     cut = {f"_piece{i}": piece for i, piece in enumerate(pieces)}
     keys = [*group, *cut]
+    top = [*group, "_piece0"]
     cut_rows = rows.withColumns(cut)
-    counts = cut_rows.groupBy(keys).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*group).orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
+    counts = stage(cut_rows.groupBy(keys).agg(F.count("*").alias("_rows")), "pieces")
     other = {key: f"_of_{key}" for key in keys}
-    starts = counts.select(*[F.col(key).alias(alias) for key, alias in other.items()], _sum_or_zero("_rows", before).alias("_start"))
+
+    def same(names: Sequence[str]) -> Column:
+        return reduce(and_, [F.col(key).eqNullSafe(F.col(other[key])) for key in names])
+
+    before = Window.partitionBy(*group).orderBy("_piece0").rowsBetween(Window.unboundedPreceding, -1)
+    tops = counts.groupBy(top).agg(F.sum("_rows").alias("_rows"))
+    tops = tops.select(*[F.col(key).alias(other[key]) for key in top], _sum_or_zero("_rows", before).alias("_top"))
+    earlier = Window.partitionBy(*top).orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", _sum_or_zero("_rows", earlier)).join(tops, same(top))
+    starts = starts.select(*[F.col(key).alias(f"_at_{key}") for key in keys], (F.col("_top") + F.col("_start")).alias("_start"))
+    starts = starts.withColumnsRenamed({f"_at_{key}": alias for key, alias in other.items()})
     inside = F.row_number().over(Window.partitionBy(keys).orderBy(*order)) - 1
-    same = reduce(and_, [F.col(key).eqNullSafe(F.col(alias)) for key, alias in other.items()])
-    numbered = cut_rows.withColumn("_inside", inside).join(starts, same)
+    numbered = cut_rows.withColumn("_inside", inside).join(starts, same(keys))
     return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop(*cut, *other.values(), "_inside", "_start")
 
 

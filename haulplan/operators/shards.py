@@ -136,11 +136,11 @@ def shard_order(strategy: str) -> list[Column]:
 def shard_positions(sharded: DataFrame, strategy: str = "bytes") -> DataFrame:
     """Add ``shard_pos``, the 0-based place of a record in its shard.
 
-    A shard may hold very many records of one size (all empty ones, say), so it
-    is cut by size and by stretches of ``seq``.
+    A shard may hold very many records, also of one size (all empty ones, say), so
+    it is cut by size buckets (1,024 per power of two), sizes and stretches of ``seq``.
     """
-    stretch = F.shiftright("seq", CHUNK_SHIFT)
-    pieces = [-F.col("size"), stretch] if strategy == "bytes" else [stretch]
+    stretches = [F.shiftright("seq", 2 * CHUNK_SHIFT), F.shiftright("seq", CHUNK_SHIFT)]
+    pieces = [-coarse_size("size"), -F.col("size"), *stretches] if strategy == "bytes" else stretches
     return number_within(sharded, ["shard_id"], pieces, ["seq"], "shard_pos")
 
 

@@ -63,10 +63,11 @@ def shard_manifest(
     strategy: str = "bytes",
     spread_empty: bool = False,
     source: str = "",
+    one_file_per_shard: bool = False,
 ) -> DataFrame:
     """Assign and write shards under ``outdir/shards``, metadata under ``outdir/metadata``."""
     sharded = stage(assign_shards(manifest, num_shards, strategy, spread_empty), "sharded")
-    write_shards(sharded, f"{outdir}/shards", num_shards, strategy)
+    write_shards(sharded, f"{outdir}/shards", num_shards, strategy, one_file_per_shard=one_file_per_shard)
     write_shard_metadata(sharded, f"{outdir}/metadata", num_shards, strategy, source, outdir)
     return sharded
 

@@ -32,3 +32,5 @@ MANIFEST = T.StructType(
 )
 
 MANIFEST_COLUMNS = MANIFEST.fieldNames()
+
+SHARDED = T.StructType([*MANIFEST.fields, T.StructField("shard_id", T.IntegerType())])

@@ -24,9 +24,10 @@ def write_shards(
 
     Records are range-partitioned by shard and place, so a shard that holds a
     large part of all records is written by several tasks; its files in name
-    order give the shard order.  ``one_file_per_shard`` sends each shard to one
-    task instead.  Shards without records have no folder; they are in the
-    summary.
+    order give the shard order.  Shards without records then have no folder; they
+    are in the summary.  ``one_file_per_shard`` sends each shard to one task
+    instead, for copiers that open a shard by its number; as JSON, a shard without
+    records is an empty file.
     """
     order = ["shard_id", *shard_order(strategy)]
     if one_file_per_shard:
@@ -39,6 +40,19 @@ def write_shards(
     if file_format == "json":
         writer = writer.option("ignoreNullFields", "false")
     writer.format(file_format).save(outdir)
+    if one_file_per_shard and file_format == "json":
+        _add_empty_files(sharded, outdir, num_shards)
+
+
+def _add_empty_files(sharded: DataFrame, outdir: str, num_shards: int) -> None:
+    """An empty file for every shard number without records."""
+    used = {row.shard_id for row in sharded.select("shard_id").distinct().collect()}  # at most num_shards numbers
+    spark = sharded.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(outdir)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for shard in range(num_shards):
+        if shard not in used:
+            files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{outdir}/shard_id={shard}/part-00000.json")).close()
 
 
 def read_shards(spark: SparkSession, outdir: str, schema, file_format: str = "json") -> DataFrame:

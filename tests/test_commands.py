@@ -49,3 +49,19 @@ def test_combine_and_estimate(spark, tmp_path, capsys):
     assert [r["source"] for r in records(tmp_path / "m")] == ["s/a"]
     main(["estimate", "--in", str(tmp_path / "lsjson-1.json"), "--min-rate", "8Mbps", "--max-rate", "8Gbps"])
     assert "1.00 MiB" in capsys.readouterr().out
+
+
+def test_plan_and_status(spark, listing, capsys):
+    at = lambda name: str(listing / name)
+    main(["plan", "--in", at("list.json"), "--source", "s:b", "--dest", "d:b", "--outdir", at("run"), "--num-shards", "60", "--one-file-per-shard"])
+    folders = {int(f.name.split("=")[1]): list(f.glob("*.json")) for f in (listing / "run" / "shards").glob("shard_id=*")}
+    assert set(folders) == set(range(60)) and all(len(files) == 1 for files in folders.values())
+    filled = {k for k, (file,) in folders.items() if file.stat().st_size}
+    assert len(records(listing / "run" / "shards")) == 50 and 0 < len(filled) < 60
+    done, failed = sorted(filled)[:2]
+    log = [{"shard_id": done, "attempt": 1, "rc": 0}, *[{"shard_id": failed, "attempt": k, "rc": 3} for k in (1, 2)]]
+    (listing / "attempts.json").write_text("\n".join(map(json.dumps, log)))
+    main(["status", "--outdir", at("run"), "--attempts", at("attempts.json"), "--pending", at("todo"), "--max-attempts", "2"])
+    assert capsys.readouterr().out.splitlines() == [f"done none {60 - len(filled) + 1}", "fail exhausted 1", f"pending start {len(filled) - 2}"]
+    copied = {json.loads(line)["path"] for line in folders[done][0].read_text().splitlines()}
+    assert {r["path"] for r in records(listing / "todo")} == {f"d/f{i}" for i in range(50)} - copied
