@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from haulplan.operators import advise
 from haulplan.operators.attempts import MAX_ATTEMPTS, pending_work, retry_plan, shard_status
 from haulplan.operators.normalize import totals_input
+from haulplan.operators.progress import progress_checkpoints
 from haulplan.operators.shards import STRATEGIES
 from haulplan.plans import jobs
 from haulplan.schema import MANIFEST, MANIFEST_SCHEMA, SHARDED
@@ -26,12 +27,19 @@ def _load_manifest(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def build(spark: SparkSession, args: argparse.Namespace) -> None:
     objects = listing.read_listing(spark, args.input, form=args.form)
-    manifests.write_manifest(jobs.build_manifest(objects, args.source, args.dest, args.run_id), args.out, args.format)
+    _write_manifest(jobs.build_manifest(objects, args.source, args.dest, args.run_id), args)
+
+
+def _write_manifest(manifest: DataFrame, args: argparse.Namespace) -> None:
+    if args.progress:
+        manifest = stage(manifest, "manifest")
+        progress_checkpoints(manifest).write.json(args.progress)
+    manifests.write_manifest(manifest, args.out, args.format)
 
 
 def combine(spark: SparkSession, args: argparse.Namespace) -> None:
     combined = jobs.combine_parts(spark, args.parts_dir, args.source, args.dest, args.run_id)
-    manifests.write_manifest(combined.manifest, args.out, args.format)
+    _write_manifest(combined.manifest, args)
     for part in combined.rejected_parts.toLocalIterator():
         print(f"skipped {part.part}: {part.reason}")
 
@@ -123,6 +131,7 @@ def parser() -> argparse.ArgumentParser:
     for job, place in ((build, "in"), (combine, "parts-dir")):
         sub = command(job, place, "source", "dest", "out")
         sub.add_argument("--run-id")
+        sub.add_argument("--progress", help="folder for the records and bytes listed after every interval and at the end")
         if job is build:
             sub.add_argument("--form", choices=["auto", "array", "ndjson"], default="auto", help="form of the listing")
     sub = command(rebase, "in", "out")

@@ -32,10 +32,25 @@ class Combined(NamedTuple):
 
 
 def combine_parts(
-    spark: SparkSession, parts_dir: str, source: str, dest: str, run_id: str | None = None, pattern: str = "lsjson-*.json"
+    spark: SparkSession,
+    parts_dir: str,
+    source: str,
+    dest: str,
+    run_id: str | None = None,
+    pattern: str = "lsjson-*.json",
+    max_bytes: int = listing.MAX_ARRAY_BYTES,
 ) -> Combined:
-    """One manifest of all part files of a folder; parts that cannot be read are reported, not fatal."""
-    return combine_texts(listing.read_parts(spark, parts_dir, pattern), source, dest, run_id)
+    """One manifest of all part files of a folder; parts that cannot be read are reported, not fatal.
+
+    Parts above ``max_bytes`` are read by lines.
+    """
+    parts = listing.read_parts(spark, parts_dir, pattern, max_bytes)
+    large = listing.read_large_parts(spark, parts_dir, pattern, max_bytes)
+    if large is None:
+        return combine_texts(parts, source, dest, run_id)
+    good, rejected = listing.split_parts(parts.where("text IS NOT NULL"))
+    objects = listing.explode_arrays(good).unionByName(large[0].drop("part_number"))
+    return Combined(build_manifest(objects, source, dest, run_id), rejected.union(large[1]))
 
 
 def combine_texts(parts: DataFrame, source: str, dest: str, run_id: str | None = None) -> Combined:

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from haulplan.staging import stage
 
-#: An array file is one row of one task, so its size is limited.  Larger
-#: listings belong into part files or newline-delimited JSON.
+#: An array file up to this size is one row of one task.  A larger one is read by
+#: lines, as listers print it: brackets and objects on lines of their own.
 MAX_ARRAY_BYTES = 64 * 1024**2
 
 #: Positions inside one part file stay below ``2**PART_SHIFT``.
-PART_SHIFT = 31
+PART_SHIFT = 40
 
 
 #: Start of a file name that Spark spells in two ways (``file:/x``, ``file:///x``).
@@ -73,44 +73,92 @@ def explode_arrays(parts: DataFrame) -> DataFrame:
     elements = parts.select(
         *kept, "part_number", F.posexplode(F.try_variant_get("array", "$", "array<variant>")).alias("position", "object")
     )
-    seq = F.shiftleft(F.col("part_number").cast("bigint"), PART_SHIFT) + F.col("position")
-    return elements.where(is_object(F.col("object"))).select(*kept, seq.alias("seq"), "object")
+    return elements.where(is_object(F.col("object"))).select(*kept, _seq(F.col("position")), "object")
+
+
+def _seq(position: Column) -> Column:
+    return (F.shiftleft(F.col("part_number").cast("bigint"), PART_SHIFT) + position).alias("seq")
 
 
 def _files(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
 
 
-def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pattern: str = "*", refuse: bool = True) -> DataFrame:
+def _part() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "").alias("part")
+
+
+def _numbered(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``part, part_number`` of all files of a scan in the order of their paths, from the plan of the scan."""
+    names = sorted((re.sub(SCHEME, "", name) for name in files.inputFiles()), key=unquote)
+    return spark.createDataFrame(list(zip(names, range(len(names)))), "part string, part_number int")
+
+
+def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pattern: str = "*") -> DataFrame:
     """``part, part_number, text`` of files read whole, in the order of their paths.
 
-    The file names come from the plan of the scan.  Empty files give no row in a
-    scan, so they are added from there with an empty text.  A file above the limit
-    is refused, or else has a null text.
+    Empty files give no row in a scan, so they are added with an empty text.  A
+    file above the limit has a null text and is not read.
     """
     files = _files(spark, paths, pattern)
-    names = sorted((re.sub(SCHEME, "", name) for name in files.inputFiles()), key=unquote)
-    numbered = spark.createDataFrame(list(zip(names, range(len(names)))), "part string, part_number int")
-    too_large = F.format_string(
-        "%s holds one JSON array of %d bytes; split it into part files or write it as newline-delimited JSON",
-        F.col("_metadata.file_path"),
-        F.col("_metadata.file_size"),
+    numbered = _numbered(spark, files)
+    texts = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=True)
+    texts = texts.where(F.col("_metadata.file_size") <= max_bytes).select(_part(), F.col("value").alias("text"))
+    large = files.where(F.col("length") > max_bytes).select(_part(), F.lit(None).cast("string").alias("text"))
+    empty = numbered.join(files.select(_part()), "part", "left_anti").withColumn("text", F.lit(""))
+    return texts.union(large).join(numbered, "part").unionByName(empty)
+
+
+def read_large_arrays(
+    spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_ARRAY_BYTES, pattern: str = "*"
+) -> tuple[DataFrame, DataFrame] | None:
+    """Array files above the limit, read by lines and split like any text: objects and files, or None without any.
+
+    Brackets and objects stand on lines of their own, with a comma behind an object.
+    Objects are ``part, part_number, seq, object``, files ``part, is_array``, false
+    where a line is something else or a bracket is missing or repeated.
+    """
+    files = _files(spark, paths, pattern)
+    if files.where(F.col("length") > max_bytes).isEmpty():
+        return None
+    text = F.trim("value", F.lit(BLANKS))
+    lines = spark.read.option("pathGlobFilter", pattern).text(paths).where(F.col("_metadata.file_size") > max_bytes)
+    lines = lines.select(
+        _part(), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), text.alias("line")
     )
-    refused = F.raise_error(too_large).cast("string") if refuse else F.lit(None).cast("string")
-    text = F.when(F.col("_metadata.file_size") <= max_bytes, F.col("value")).otherwise(refused)
-    part = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "").alias("part")
-    texts = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=True).select(part, text.alias("text"))
-    empty = numbered.join(files.select(part), "part", "left_anti").withColumn("text", F.lit(""))
-    return texts.join(numbered, "part").unionByName(empty)
+    bracket = F.col("line").isin("[", "]")
+    body = F.when(bracket, "null").otherwise(F.regexp_replace("line", r"[ \t\r]*,$", ""))
+    parsed = with_json(lines.where(F.col("line") != "").withColumn("body", body), "body", "object")
+    kind = F.when(bracket, F.col("line")).when(F.col("object").isNull(), "bad")
+    staged = stage(parsed.select("part", "block", "row", kind.alias("kind"), "object"), "array-lines")
+    counts = [F.count_if(F.col("kind") == k).alias(name) for k, name in (("[", "opened"), ("]", "closed"), ("bad", "bad"))]
+    blocks = stage(staged.groupBy("part", "block").agg(F.min("row").alias("first"), *counts), "blocks")
+    sums = blocks.groupBy("part").agg(*[F.sum(name).alias(name) for name in ("opened", "closed", "bad")])
+    checked = sums.select("part", F.expr("opened = 1 AND closed = 1 AND bad = 0").alias("is_array"))
+    objects = staged.where(F.col("kind").isNull() & is_object(F.col("object")))
+    placed = objects.join(blocks.select("part", "block", "first"), ["part", "block"]).join(_numbered(spark, files), "part")
+    # A line has at least one byte, so places inside a block stay below the next block's start.
+    return placed.select("part", "part_number", _seq(F.col("block") + F.col("row") - F.col("first")), "object"), checked
 
 
 def read_json_arrays(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_ARRAY_BYTES) -> DataFrame:
-    """Files that each hold one JSON array; anything else in a file is an error."""
+    """Files that each hold one JSON array; anything else in a file is an error.
+
+    A file above ``max_bytes`` needs its brackets and objects on lines of their own.
+    """
     refused = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("part"))).cast("variant")
     is_array = opens_with(F.col("text"), "[") & F.col("array").isNotNull()
-    parsed = with_json(_whole_files(spark, paths, max_bytes), "text", "array")
+    parsed = with_json(_whole_files(spark, paths, max_bytes).where("text IS NOT NULL"), "text", "array")
     arrays = parsed.withColumn("array", F.when(is_array, F.col("array")).otherwise(refused))
-    return explode_arrays(arrays.drop("text", "part"))
+    small = explode_arrays(arrays.drop("text", "part"))
+    large = read_large_arrays(spark, paths, max_bytes)
+    if large is None:
+        return small
+    objects, checked = large
+    message = F.concat(F.col("part"), F.lit(" is no JSON array with one object per line; write it so or split it into part files"))
+    bad = checked.where(F.when(F.col("is_array"), False).otherwise(F.raise_error(message).cast("boolean")))
+    none = bad.select(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("variant").alias("object"))
+    return small.unionByName(objects.select("seq", "object")).union(none)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -202,14 +250,37 @@ def read_parts(
     """Part files of a folder: ``part, part_number, prefix, text``.
 
     A part ``x.json`` may have a sidecar ``x.prefix`` whose stripped text is put
-    before its paths.  No part at all is an error.
+    before its paths.  No part at all is an error.  The text of a part above the
+    limit is null; see :func:`read_large_parts`.
     """
     if not _files(spark, parts_dir, pattern).inputFiles():
         raise FileNotFoundError(f"no part files {pattern} in {parts_dir}")
-    parts = _whole_files(spark, parts_dir, max_bytes, pattern, refuse=False)
-    named = parts.withColumn("part", F.element_at(F.split("part", "/"), -1))
-    return named.join(read_prefixes(spark, parts_dir), file_stem(F.col("part")) == F.col("stem"), "left").select(
-        "part", "part_number", F.coalesce("prefix", F.lit("")).alias("prefix"), "text"
+    return _with_prefixes(_whole_files(spark, parts_dir, max_bytes, pattern), parts_dir)
+
+
+def read_large_parts(
+    spark: SparkSession, parts_dir: str, pattern: str = "lsjson-*.json", max_bytes: int = MAX_ARRAY_BYTES
+) -> tuple[DataFrame, DataFrame] | None:
+    """Objects (``part, part_number, prefix, seq, object``) and rejected parts of those above the limit, None without any."""
+    large = read_large_arrays(spark, parts_dir, max_bytes, pattern)
+    if large is None:
+        return None
+    objects, checked = large
+    good = objects.join(stage(checked.where("is_array").select("part"), "good"), "part", "left_semi")
+    rejected = checked.where(~F.col("is_array")).select(_file_name(), F.lit("not a JSON array with one object per line").alias("reason"))
+    return _with_prefixes(good, parts_dir), rejected
+
+
+def _file_name() -> Column:
+    return F.element_at(F.split("part", "/"), -1).alias("part")
+
+
+def _with_prefixes(parts: DataFrame, parts_dir: str) -> DataFrame:
+    named = parts.withColumn("part", _file_name())
+    prefixes = read_prefixes(parts.sparkSession, parts_dir)
+    others = [name for name in parts.columns if name not in ("part", "part_number")]
+    return named.join(prefixes, file_stem(F.col("part")) == F.col("stem"), "left").select(
+        "part", "part_number", F.coalesce("prefix", F.lit("")).alias("prefix"), *others
     )
 
 

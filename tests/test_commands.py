@@ -18,7 +18,8 @@ def listing(tmp_path):
 
 def test_build_rebase_shard_analyze(spark, listing, capsys):
     at = lambda name: str(listing / name)
-    main(["build", "--in", at("list.json"), "--source", "s:b", "--dest", "d:b", "--out", at("m"), "--run-id", "r"])
+    main(["build", "--in", at("list.json"), "--source", "s:b", "--dest", "d:b", "--out", at("m"), "--run-id", "r", "--progress", at("p")])
+    assert records(listing / "p") == [{"checkpoint": 0, "files_listed": 50, "bytes_listed": sum(range(50)) * 1000}]
     assert [r["path"] for r in records(listing / "m")] == [f"d/f{i}" for i in range(50)]
     main(["rebase", "--in", at("m"), "--out", at("m2"), "--dest-root", "e:c"])
     moved = [json.loads(line) for file in sorted((listing / "m2").glob("*.txt")) for line in file.read_text().splitlines()]

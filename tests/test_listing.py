@@ -148,6 +148,43 @@ def test_large_array_is_refused(spark, array):
         read_json_arrays(spark, array, max_bytes=10).collect()
 
 
+def line_array(objects):
+    return "[\n" + ",\n".join(map(json.dumps, objects)) + "\n]\n"
+
+
+def test_large_array_by_lines(spark, tmp_path):
+    objects = [{"Path": f"d/{i}", "Size": i} for i in range(3000)]
+    text_file(tmp_path / "a.json", json.dumps([{"Path": "first", "Size": 1}]))
+    text_file(tmp_path / "b.json", line_array(objects))
+    text_file(tmp_path / "c.json", json.dumps([{"Path": "last", "Size": 1}]))
+    want = ["first", *[o["Path"] for o in objects], "last"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits
+    try:
+        for limit in (10_000, 10_000_000):
+            rows = build_manifest(read_json_arrays(spark, str(tmp_path), limit), SRC, DST, "r").orderBy("seq").collect()
+            assert [r.path for r in rows] == want and len({r.seq for r in rows}) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text", ["[\n{},\n{}\n", "{}\n]\n", "[\n{}\n]\n]\n", "[\n{},\nx\n]\n", "[{},\n{}]\n", "[\n[\n{}\n]\n"])
+def test_large_text_that_is_no_array_of_lines(spark, tmp_path, text):
+    with pytest.raises(PySparkException, match="no JSON array with one object per line"):
+        read_json_arrays(spark, text_file(tmp_path / "bad.json", text), max_bytes=2).count()
+
+
+def test_combine_large_parts(spark, tmp_path):
+    text_file(tmp_path / "lsjson-1.json", json.dumps([{"Path": "s", "Size": 1}]))
+    text_file(tmp_path / "lsjson-2.json", line_array([{"Path": f"l{i}", "Size": i} for i in range(40)]))
+    text_file(tmp_path / "lsjson-2.prefix", "p\n")
+    text_file(tmp_path / "lsjson-3.json", line_array([{"Path": f"cut{i}"} for i in range(40)])[:-3])
+    text_file(tmp_path / "lsjson-4.json", "[" + "x" * 200)
+    combined = combine_parts(spark, str(tmp_path), SRC, DST, "r", max_bytes=100)
+    rows = combined.manifest.orderBy("seq").collect()
+    assert [(r.path, r.size) for r in rows] == [("s", 1), *[(f"p/l{i}", i) for i in range(40)]]
+    assert sorted(r.part for r in combined.rejected_parts.collect()) == ["lsjson-3.json", "lsjson-4.json"]
+
+
 def test_combine(spark, tmp_path):
     text_file(tmp_path / "lsjson-0002.json", json.dumps([{"Path": "x", "Size": 2}, {"Path": "sub", "IsDir": True}]))
     text_file(tmp_path / "lsjson-0001.json", json.dumps([3, {"Path": "y", "Size": 1}, {"Path": "x", "Size": 1}]))
