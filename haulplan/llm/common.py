@@ -36,6 +36,21 @@ def discard(staged: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches of a task; what a finished one leaves in Arrow's pool goes back to the system, since workers outlive tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def short_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that few rows at a time become Python objects."""
+    for batch in released(batches):
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a batch in runs of at most ``limit`` bytes of text: first row, end row, UTF-8 bytes, text bounds.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulplan.llm.common import find_package, table, vocabulary
+from haulplan.llm.common import find_package, released, table, vocabulary
 from haulplan.staging import stage
 
 CAPACITY = 1024
@@ -133,7 +133,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
-        for batch in batches:
+        for batch in released(batches):
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in runs_of_texts(texts):
                 rows = []

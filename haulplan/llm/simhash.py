@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulplan.llm.common import find_package, mix, table
+from haulplan.llm.common import find_package, mix, released, table
 from haulplan.llm.components import components
 from haulplan.staging import stage
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     find_package(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             bits = np.array([simhash(t, width) if t else 0 for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 

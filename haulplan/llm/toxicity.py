@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulplan.llm.common import find_package, table
+from haulplan.llm.common import find_package, released, table
 from haulplan.staging import stage
 
 SAMPLE = 20_000  # labelled rows that are learned from
@@ -242,7 +242,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
+        for texts in released(parts):
             yield pd.Series(lexicon.scores(texts), dtype="float64")
 
     return docs.withColumn("score", scored(F.col("text").cast("string")))
