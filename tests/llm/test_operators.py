@@ -214,6 +214,34 @@ def test_near_passages(spark):
     assert sum((r.text or "").count("w10 w11 w12") for r in kept) == 1
 
 
+def test_near_passages_around_frequent_lines(spark):
+    """Copies are found although the smallest shingles of their passage stand in unrelated texts too."""
+    own = random.Random(11)
+    fresh = lambda n: [f"{own.getrandbits(40):x}" for _ in range(n)]
+    rows, planted = [], []
+    for k in range(20):
+        passage = fresh(50)
+        data = np.frombuffer(" ".join(passage).encode(), np.uint8)
+        words = near_passages.Words(data, np.array([0, len(data)]))
+        shingles = near_passages.windows(words.hashes(), words.first, near_passages.SHINGLE)[1]
+        frequent = {int(np.argmin(near_passages.mix(shingles + seed))) for seed in near_passages._SEEDS[: near_passages.HASHES]}
+        for at in frequent:
+            rows += [" ".join(fresh(30) + passage[at : at + 5] + fresh(n)) for n in (2, 20, 30, 40, 50, 60) for _ in range(2)]
+        second = list(passage)
+        if k % 2:  # similarity 41 of 51 shingles
+            second[next(w for w in range(10, 40) if not any(at <= w < at + 5 for at in frequent))] = "changed"
+        pair = [" ".join(fresh(60) + p + fresh(60)) for p in (passage, second)]
+        planted.append((len(rows), len(rows) + 1, [len(" ".join(p).encode()) for p in (passage, second)]))
+        rows += pair
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in near_passages.near_duplicate_passages(frame).collect()}
+    later = [(a, sizes[0]) if found[a].text_class > found[b].text_class else (b, sizes[1]) for a, b, sizes in planted]
+    cut = [sum(s.end - s.begin for s in found[doc].spans) >= 0.9 * size for doc, size in later]
+    assert sum(cut) == len(cut)  # brute force finds each of them
+    holders = {doc for doc, _ in later}
+    assert not any(r.spans for r in found.values() if r.doc_id not in holders)
+
+
 def test_token_counts(spark, docs):
     import sentencepiece
 
