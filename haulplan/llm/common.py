@@ -118,11 +118,14 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts of one slice; ``first[i]:first[i + 1]`` are those of text ``i``."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts of one slice; ``first[i]:first[i + 1]`` are those of text ``i``.
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    ``white`` marks other bytes that part words.
+    """
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, white: np.ndarray = _WHITE):
         self.data, self.bounds = data, bounds
-        solid = ~_WHITE[data]
+        solid = ~white[data]
         before = np.zeros(len(data), bool)
         before[1:] = solid[:-1]
         inner = bounds[(bounds > 0) & (bounds < len(data))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from haulplan.llm import (
+    decontamination,
     exact_substrings,
     licenses,
     line_rules,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_near_passages": near_passages.query,
     "op9_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
+    "op13_benchmark_decontamination": decontamination.query,
     "pipeline": corpus_pipeline.run,
 }
 
