@@ -34,6 +34,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_license_scan": licenses.ORACLE,
+    "op13_benchmark_decontamination": decontamination.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op6_vector_search": vector_search.ORACLE,
 }
