@@ -11,6 +11,7 @@ from haulplan.llm import (
     mixing,
     near_passages,
     packing,
+    periodic_runs,
     simhash,
     token_counts,
     toxicity,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_near_passages": near_passages.query,
     "op9_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
+    "op12_periodic_runs": periodic_runs.query,
     "op13_benchmark_decontamination": decontamination.query,
     "pipeline": corpus_pipeline.run,
 }
