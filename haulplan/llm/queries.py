@@ -16,6 +16,7 @@ from haulplan.llm import (
     token_counts,
     toxicity,
     vector_search,
+    whitening,
 )
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_near_passages": near_passages.query,
     "op9_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
+    "op11_embedding_whitening": whitening.query,
     "op12_periodic_runs": periodic_runs.query,
     "op13_benchmark_decontamination": decontamination.query,
     "pipeline": corpus_pipeline.run,
