@@ -273,13 +273,23 @@ ORACLES["h2_hash_without_source"] = f"""WITH {manifest('orders')}, keyed AS (SEL
  SELECT seq, CAST({sha1_modulo('key', 97)} AS INTEGER) AS shard_id FROM keyed"""
 
 
-def dealt(name: str, shards: int, empty: str = "(SELECT i FROM lightest)") -> str:
-    """Records with bytes in descending size, dealt back and forth; the others go to one shard."""
+def dealt(name: str, shards: int, empty: str = "(SELECT list_position(f.l, list_min(f.l)) - 1 FROM folded)") -> str:
+    """Records with bytes in descending size, each to the lightest shard; the others go to one shard.
+
+    Loads count the mean size of a record's class, the sizes with the same first nine bits.
+    """
     return f"""WITH {manifest(name)},
- ranked AS (SELECT seq, size, row_number() OVER (ORDER BY size DESC, seq) - 1 AS r FROM manifest WHERE size > 0),
- filled AS (SELECT seq, size, CASE WHEN (r // {shards}) % 2 = 0 THEN r % {shards} ELSE {shards} - 1 - r % {shards} END AS shard FROM ranked),
- lightest AS (SELECT i FROM range({shards}) t(i) LEFT JOIN filled ON shard = i GROUP BY i ORDER BY coalesce(sum(size), 0), i LIMIT 1),
- placed AS (SELECT seq, size, CAST(shard AS INTEGER) AS shard_id FROM filled
+ classed AS (SELECT seq, size, greatest(length(bin(size)) - 9, 0) AS cut FROM manifest WHERE size > 0),
+ meant AS (SELECT seq, size, CAST(sum(size) OVER c // count(*) OVER c AS BIGINT) AS v FROM classed
+  WINDOW c AS (PARTITION BY (size >> CAST(cut AS INTEGER)) << CAST(cut AS INTEGER), cut)),
+ ranked AS (SELECT seq, v, row_number() OVER (ORDER BY size DESC, seq) AS r FROM meant),
+ start AS (SELECT {{'v': 0::BIGINT, 'l': list_transform(range({shards}), lambda x: 0::BIGINT), 'p': []::BIGINT[]}} AS s),
+ items AS (SELECT list({{'v': v, 'l': []::BIGINT[], 'p': []::BIGINT[]}} ORDER BY r) AS all_items FROM ranked),
+ folded AS (SELECT list_reduce(all_items, lambda a, x: {{'v': 0::BIGINT,
+   'l': list_transform(a.l, lambda y, i: CASE WHEN i = list_position(a.l, list_min(a.l)) THEN y + x.v ELSE y END),
+   'p': list_append(a.p, list_position(a.l, list_min(a.l)) - 1)}}, s) AS f FROM items, start),
+ dealt_out AS (SELECT unnest(f.p) AS shard, generate_subscripts(f.p, 1) AS r FROM folded),
+ placed AS (SELECT seq, size, CAST(shard AS INTEGER) AS shard_id FROM dealt_out JOIN ranked USING (r) JOIN manifest USING (seq)
   UNION ALL SELECT seq, size, CAST({empty} AS INTEGER) FROM manifest WHERE size IS NULL OR size <= 0)"""
 
 

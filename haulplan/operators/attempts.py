@@ -17,8 +17,7 @@ MAX_ATTEMPTS = 5  # Fixed value: default number of attempts per shard.
 
 def number_attempts(log: DataFrame) -> DataFrame:
     """``shard_id, attempt, rc`` of a log ``shard_id, ts, event_id, rc``, counted from 1 in time order."""
-    by_time = [F.to_date("ts"), F.date_trunc("hour", "ts")]
-    numbered = number_within(log, ["shard_id"], by_time, ["ts", "event_id"], "earlier")
+    numbered = number_within(log, ["shard_id"], [F.col("ts"), F.col("event_id")], "earlier")
     return numbered.select("shard_id", (F.col("earlier") + 1).alias("attempt"), "rc")
 
 

@@ -1,9 +1,9 @@
 """Positions and running totals without a global window.
 
-Rows are cut into chunks of an ordered integer key.  Windows run inside chunks,
-or over one row per chunk, so no task ever holds more than ``2**CHUNK_SHIFT``
-rows of a unique key, whatever the key's distribution.  All of it is
-deterministic, hence safe to recompute after a lost executor.
+Places come from one range shuffle: rows are written sorted, and a row's place is its
+place in the partition behind the counts of the partitions before.  Totals are
+summed inside chunks of an ordered integer key and over one row per chunk, so no task ever holds more
+than ``2**CHUNK_SHIFT`` rows of a unique key, whatever the key's distribution.
 """
 
 from __future__ import annotations
@@ -42,60 +42,67 @@ def _sum_or_zero(value: str, window: Window) -> Column:
     return F.coalesce(F.sum(value).over(window), F.lit(0).cast("bigint"))
 
 
-def record_index(manifest: DataFrame, shift: int = CHUNK_SHIFT) -> DataFrame:
+def record_index(manifest: DataFrame) -> DataFrame:
     """Add ``index``: the dense 0-based position of each record in ``seq`` order.
 
-    One narrow pass counts the records per chunk, into a small written table.  A
-    ``seq`` without gaps then only has to be shifted; otherwise records are
-    numbered inside their chunk, which costs one shuffle.
+    One narrow pass counts the records and the different values of ``seq``, by bitmaps of
+    2^15 values each.  A ``seq`` without gaps or repeats then only has to be shifted;
+    otherwise records are ranked, equal ones by their names, those without ``seq`` last.
     """
-    chunked = manifest.withColumn("_part", F.shiftright("seq", shift))
-    counts = chunked.groupBy("_part").agg(
-        F.count("*").alias("rows"), F.min("seq").alias("_first"), F.max("seq").alias("_last")
+    seen = manifest.groupBy(F.bitmap_bucket_number("seq")).agg(
+        F.count("*").alias("rows"),
+        F.min("seq").alias("first"),
+        F.max("seq").alias("last"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("seq"))).alias("values"),
     )
-    counts = stage(counts, "chunks")
-    seen = counts.agg(F.min("_first").alias("first"), F.max("_last").alias("last"), F.sum("rows").alias("rows")).first()
-    if seen.rows and seen.last - seen.first + 1 == seen.rows:
+    seen = seen.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("rows"), F.sum("values").alias("values")).first()
+    if seen.rows and seen.rows == seen["values"] and seen.last - seen.first + 1 == seen.rows:
         return manifest.withColumn("index", F.col("seq") - seen.first)
-    starts = total_before(counts, "_part", ["rows"], shift).select("_part", "rows_before")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1
-    return (
-        chunked.withColumn("_inside", inside)
-        .join(starts, "_part")
-        .withColumn("index", F.col("rows_before") + F.col("_inside"))
-        .drop("_part", "_inside", "rows_before")
-    )
+    return ranked(manifest, record_order(manifest), "index")
+
+
+def record_order(manifest: DataFrame) -> list[Column]:
+    """Record order, with ties told apart by name."""
+    return [F.col("seq").asc_nulls_last(), *[F.col(name).asc_nulls_last() for name in ("source", "path") if name in manifest.columns]]
 
 
-def number_within(rows: DataFrame, group: Sequence[str], pieces: Sequence[Column], order: Sequence[str], name: str) -> DataFrame:
+#: ``monotonically_increasing_id`` holds the partition above the row's place in it.
+_PLACE_BITS = 33
+
+
+def ranked(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: the dense 0-based place of each row in the order.
+
+    One range shuffle, which samples ``rows``, so they should be a table.  Rows are
+    written sorted with their place inside the partition; the partitions' counts, one
+    number each, are added up on the driver.  Rows that are equal in the whole order
+    share a partition, so the order should end with a key.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(placed.withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    partition = F.shiftright("_id", _PLACE_BITS)
+    counts = sorted(placed.groupBy(partition.alias("part")).count().collect())
+    starts, before = [], 0
+    for part, count in counts:
+        starts.append((part, before))
+        before += count
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part bigint, _start bigint"))
+    joined = placed.withColumn("_of", partition).join(starts, F.col("_of") == F.col("_part"))
+    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return joined.withColumn(name, place).drop("_of", "_part", "_id", "_start")
+
+
+def number_within(rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Add ``name``: the 0-based position of each row in its group, also for groups of any size.
 
-    ``pieces`` cut a group into stretches that follow the order, the first one
-    coarsely, each further one finer.  Rows are numbered inside their piece, and
-    moved by the number of rows in the pieces before it.  That is summed in two
-    levels, over the coarse pieces of a group and inside a coarse piece, so no
-    task sees all pieces of a group.
+    A place in the order of all groups, less the first place of the own group.
     """
-    cut = {f"_piece{i}": piece for i, piece in enumerate(pieces)}
-    keys = [*group, *cut]
-    top = [*group, "_piece0"]
-    cut_rows = rows.withColumns(cut)
-    counts = stage(cut_rows.groupBy(keys).agg(F.count("*").alias("_rows")), "pieces")
-    other = {key: f"_of_{key}" for key in keys}
-
-    def same(names: Sequence[str]) -> Column:
-        return reduce(and_, [F.col(key).eqNullSafe(F.col(other[key])) for key in names])
-
-    before = Window.partitionBy(*group).orderBy("_piece0").rowsBetween(Window.unboundedPreceding, -1)
-    tops = counts.groupBy(top).agg(F.sum("_rows").alias("_rows"))
-    tops = tops.select(*[F.col(key).alias(other[key]) for key in top], _sum_or_zero("_rows", before).alias("_top"))
-    earlier = Window.partitionBy(*top).orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", _sum_or_zero("_rows", earlier)).join(tops, same(top))
-    starts = starts.select(*[F.col(key).alias(f"_at_{key}") for key in keys], (F.col("_top") + F.col("_start")).alias("_start"))
-    starts = starts.withColumnsRenamed({f"_at_{key}": alias for key, alias in other.items()})
-    inside = F.row_number().over(Window.partitionBy(keys).orderBy(*order)) - 1
-    numbered = cut_rows.withColumn("_inside", inside).join(starts, same(keys))
-    return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop(*cut, *other.values(), "_inside", "_start")
+    keys = [F.col(g).asc_nulls_first() for g in group]
+    placed = ranked(rows, [*keys, *order], name)
+    firsts = placed.groupBy(*group).agg(F.min(name).alias("_first")).withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group])
+    joined = placed.join(stage(firsts, "firsts"), same)
+    return joined.withColumn(name, F.col(name) - F.col("_first")).drop("_first", *[f"_of_{g}" for g in group])
 
 
 def largest(manifest: DataFrame, count: int) -> DataFrame:

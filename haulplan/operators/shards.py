@@ -1,23 +1,32 @@
 """Assignment of manifest records to shards: by count, by key hash, by bytes.
 
-By bytes means largest first, dealt back and forth: records in descending size go
-to shards 0, 1, ..., n-1, n-1, ..., 1, 0, 0, 1 and so on.  Every round trip gives each
-shard two records, so the loads of two shards never differ by more than the largest
-size.  One rule holds at every size: a record's place in the order comes from counts
-of size buckets, sizes and stretches of ``seq``, never from a sort in one task.
+By bytes means largest first, each record to the shard that is lightest so far.  That
+is sequential over records but not over sizes: a vector of loads is carried down the
+size classes on the driver (at most 256 a power of two, counts and bytes of each), every
+class is poured onto the lightest shards by water level, and a record finds its shard
+from its rank inside the class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulplan.functions.numbers import coarse_size
-from haulplan.operators.ordering import CHUNK_SHIFT, number_within, record_index
-from haulplan.staging import stage
+from haulplan.operators.ordering import number_within, ranked, record_index, record_order
 
 STRATEGIES = ("bytes", "count", "hash")
 
+#: Size classes of the byte balance: 2**8 for each power of two.
+CLASS_BITS = 8
+_SEGMENT = pa.struct([("start", pa.int64()), ("cycle", pa.list_(pa.int32()))])
+_SEGMENTS = pa.schema([("_of", pa.int64()), ("_first", pa.int64()), ("_segments", pa.list_(_SEGMENT))])
+
+
 def check_shards(num_shards: int, strategy: str = "bytes") -> None:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}: {strategy!r}")
@@ -75,47 +84,66 @@ def shard_by_hash(manifest: DataFrame, num_shards: int) -> DataFrame:
     return manifest.withColumn("shard_id", sha1_modulo(key, num_shards).cast("int")).drop("index")
 
 
-def size_rank(manifest: DataFrame) -> DataFrame:
-    """Add ``rank``: the 0-based place of each record with bytes in descending size, then ``seq``.
+def pour(classes: Iterable[tuple[int, int, int]], num_shards: int) -> tuple[list[tuple], np.ndarray]:
+    """Spread size classes, largest first, over shards: rows ``bucket, first, segments`` and the loads.
 
-    Three levels: buckets of sizes (1,024 per power of two), sizes inside a bucket,
-    stretches of ``seq`` inside a size.  Records equal in size and ``seq`` are told
-    apart by their path.
+    A class is ``bucket, records, bytes``; its records count as equally large, ``size``.  Dealing them one by one to the lightest
+    shard (the first of equals) fills the loads like water: cut into levels of ``size`` bytes, a
+    shard takes part from the level of its load on, and within a level shards take
+    turns by what they hold beyond it.  So the turns of a class are a few segments, each
+    a start rank and a cycle of shards.
     """
-    rows = manifest.withColumns({"_bucket": -coarse_size("size"), "_stretch": F.shiftright("seq", CHUNK_SHIFT)})
-    pieces = stage(rows.groupBy("_bucket", "size", "_stretch").agg(F.count("*").alias("_rows")), "sizes")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = pieces.groupBy("_bucket").agg(F.sum("_rows").alias("_rows"))
-    buckets = buckets.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("_bucket").orderBy(F.col("size").desc(), "_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select("_bucket", "size", "_stretch", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_start"))
-    starts = starts.join(buckets, "_bucket").select("size", F.col("_stretch").alias("_of"), (F.col("_first") + F.col("_start")).alias("_start"))
-    ties = [name for name in ("source", "path") if name in manifest.columns]
-    place = F.row_number().over(Window.partitionBy("size", "_stretch").orderBy("seq", *ties)) - 1
-    placed = rows.withColumn("_place", place)
-    starts = stage(starts.withColumnRenamed("size", "_size"), "starts")
-    same = (F.col("size") == F.col("_size")) & F.col("_stretch").eqNullSafe(F.col("_of"))
-    joined = placed.join(starts, same).drop("_size")
-    return joined.withColumn("rank", F.col("_start") + F.col("_place")).drop("_bucket", "_stretch", "_of", "_start", "_place")
+    loads, numbers = np.zeros(num_shards, np.int64), np.arange(num_shards)
+    out, first = [], 0
+    for bucket, count, total in classes:
+        size = max(1, total // count)
+        if count == 1:
+            lightest = int(loads.argmin())
+            loads[lightest] += size
+            out.append((bucket, first, [(0, [lightest])]))
+            first += 1
+            continue
+        levels, beyond = np.divmod(loads, size)
+        turns = np.lexsort((numbers, beyond))
+        steps = np.unique(levels)
+        segments, start = [], 0
+        for level, following in zip(steps.tolist(), [*steps[1:].tolist(), None]):
+            cycle = turns[levels[turns] <= level]
+            left = count - start
+            taken = left if following is None else min(left, len(cycle) * (following - level))
+            segments.append((start, cycle[:taken].tolist()))
+            loads[cycle] += size * (taken // len(cycle) + (np.arange(len(cycle)) < taken % len(cycle)))
+            start += taken
+            if start == count:
+                break
+        out.append((bucket, first, segments))
+        first += count
+    return out, loads
 
 
 def shard_by_bytes(manifest: DataFrame, num_shards: int, spread_empty: bool = False) -> DataFrame:
-    """Balance bytes over shards: no two loads differ by more than the largest size.
+    """Balance bytes over shards: largest first, each to the lightest shard.
 
+    Sizes of one class, at most a 256th apart, count as their mean when loads are compared.
     Records without bytes all go to the lightest shard, the first of equals, or are
     dealt by ``seq`` with ``spread_empty``.
     """
-    ranked = size_rank(manifest.where(F.col("size") > 0))
-    turn, step = F.floor(F.col("rank") / num_shards), F.col("rank") % num_shards
-    placed = ranked.withColumn("shard_id", F.when(turn % 2 == 0, step).otherwise(num_shards - 1 - step).cast("int")).drop("rank")
+    spark = manifest.sparkSession
+    full = manifest.where(F.col("size") > 0).withColumn("_bucket", coarse_size("size", CLASS_BITS))
+    classes = full.groupBy("_bucket").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()  # at most 256 for a power of two
+    segments, loads = pour(sorted(((c["_bucket"], c.rows, c["bytes"]) for c in classes), reverse=True), num_shards)
+    table = pa.table(
+        {"_of": [s[0] for s in segments], "_first": [s[1] for s in segments], "_segments": [[{"start": a, "cycle": c} for a, c in s[2]] for s in segments]},
+        schema=_SEGMENTS,
+    )
+    placed = ranked(full, [F.col("size").desc(), *record_order(manifest)], "_rank")
+    joined = placed.join(spark.createDataFrame(table), F.col("_bucket") == F.col("_of")).withColumn("_rank", F.col("_rank") - F.col("_first"))
+    own = F.element_at(F.filter("_segments", lambda s: s["start"] <= F.col("_rank")), -1)
+    turn = F.get(own["cycle"], ((F.col("_rank") - own["start"]) % F.size(own["cycle"])).cast("int"))
+    placed = joined.withColumn("shard_id", turn).drop("_bucket", "_rank", "_of", "_first", "_segments")
     empty = manifest.where(F.col("size").isNull() | (F.col("size") <= 0))
-    if spread_empty:
-        return placed.unionByName(empty.withColumn("shard_id", F.pmod("seq", F.lit(num_shards)).cast("int")))
-    # Without a gap in the shards used, the lightest is the first of the least load; one row is read.
-    loads = placed.groupBy("shard_id").agg(F.sum("size").alias("bytes"))
-    used = loads.agg(F.count("*").alias("shards"), F.min(F.struct("bytes", "shard_id")).alias("least")).first()
-    lightest = used["shards"] if used["shards"] < num_shards else used["least"]["shard_id"]
-    return placed.unionByName(empty.withColumn("shard_id", F.lit(lightest).cast("int")))
+    of_empty = F.pmod("seq", F.lit(num_shards)) if spread_empty else F.lit(int(loads.argmin()))
+    return placed.unionByName(empty.withColumn("shard_id", F.coalesce(of_empty, F.lit(0)).cast("int")))
 
 
 def shard_summary(sharded: DataFrame, num_shards: int) -> DataFrame:
@@ -136,12 +164,10 @@ def shard_order(strategy: str) -> list[Column]:
 def shard_positions(sharded: DataFrame, strategy: str = "bytes") -> DataFrame:
     """Add ``shard_pos``, the 0-based place of a record in its shard.
 
-    A shard may hold very many records, also of one size (all empty ones, say), so
-    it is cut by size buckets (1,024 per power of two), sizes and stretches of ``seq``.
+    A shard may hold any number of records, also of one size.
     """
-    stretches = [F.shiftright("seq", 2 * CHUNK_SHIFT), F.shiftright("seq", CHUNK_SHIFT)]
-    pieces = [-coarse_size("size"), -F.col("size"), *stretches] if strategy == "bytes" else stretches
-    return number_within(sharded, ["shard_id"], pieces, ["seq"], "shard_pos")
+    by_size = [F.col("size").desc()] if strategy == "bytes" else []
+    return number_within(sharded, ["shard_id"], [*by_size, *record_order(sharded)], "shard_pos")
 
 
 def work_list(sharded: DataFrame, shard_id: int) -> DataFrame:
