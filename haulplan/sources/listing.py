@@ -13,10 +13,11 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from haulplan.operators.ordering import ranked
+from haulplan.sources.array_blocks import array_texts
 from haulplan.staging import stage
 
-#: An array file up to this size is one row of one task.  A larger one is read by
-#: lines, as listers print it: brackets and objects on lines of their own.
+#: An array file up to this size is one row of one task; a larger one is read in splits, to the same result.
 MAX_ARRAY_BYTES = 64 * 1024**2
 
 #: Positions inside one part file stay below ``2**PART_SHIFT``.
@@ -88,10 +89,16 @@ def _part() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "").alias("part")
 
 
-def _numbered(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``part, part_number`` of all files of a scan in the order of their paths, from the plan of the scan."""
-    names = sorted((re.sub(SCHEME, "", name) for name in files.inputFiles()), key=unquote)
-    return spark.createDataFrame(list(zip(names, range(len(names)))), "part string, part_number int")
+def _numbered(files: DataFrame) -> DataFrame:
+    """``part, part_number, length`` of all files of a scan, numbered in the order of their paths.
+
+    The names come from the scan's plan, since a scan gives no row for an empty file.
+    """
+    names = [(re.sub(SCHEME, "", name), unquote(re.sub(SCHEME, "", name))) for name in files.inputFiles()]
+    numbered = ranked(files.sparkSession.createDataFrame(names, "part string, path string"), [F.col("path"), F.col("part")], "part_number")
+    lengths = files.select(_part(), "length")
+    numbered = numbered.join(lengths, "part", "left")
+    return numbered.select("part", F.col("part_number").cast("int").alias("part_number"), F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pattern: str = "*") -> DataFrame:
@@ -100,63 +107,56 @@ def _whole_files(spark: SparkSession, paths: str | list[str], max_bytes: int, pa
     Empty files give no row in a scan, so they are added with an empty text.  A
     file above the limit has a null text and is not read.
     """
-    files = _files(spark, paths, pattern)
-    numbered = _numbered(spark, files)
+    numbered = _numbered(_files(spark, paths, pattern))
     texts = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=True)
     texts = texts.where(F.col("_metadata.file_size") <= max_bytes).select(_part(), F.col("value").alias("text"))
-    large = files.where(F.col("length") > max_bytes).select(_part(), F.lit(None).cast("string").alias("text"))
-    empty = numbered.join(files.select(_part()), "part", "left_anti").withColumn("text", F.lit(""))
-    return texts.union(large).join(numbered, "part").unionByName(empty)
+    large = F.when(F.col("length") <= max_bytes, "")
+    others = numbered.where((F.col("length") > max_bytes) | (F.col("length") == 0)).select("part", "part_number", large.alias("text"))
+    return texts.join(numbered.select("part", "part_number"), "part").unionByName(others)
 
 
 def read_large_arrays(
     spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_ARRAY_BYTES, pattern: str = "*"
 ) -> tuple[DataFrame, DataFrame] | None:
-    """Array files above the limit, read by lines and split like any text: objects and files, or None without any.
+    """Array files above the limit, read in splits: objects and files, or None without any.
 
-    Brackets and objects stand on lines of their own, with a comma behind an object.
-    Objects are ``part, part_number, seq, object``, files ``part, is_array``, false
-    where a line is something else or a bracket is missing or repeated.
+    Objects are ``part, part_number, seq, object``, files ``part, is_array``.  Objects may stand
+    anywhere, on one line or on many; see :mod:`haulplan.sources.array_blocks`.
     """
     files = _files(spark, paths, pattern)
     if files.where(F.col("length") > max_bytes).isEmpty():
         return None
-    text = F.trim("value", F.lit(BLANKS))
-    lines = spark.read.option("pathGlobFilter", pattern).text(paths).where(F.col("_metadata.file_size") > max_bytes)
-    lines = lines.select(
-        _part(), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), text.alias("line")
+    lines = spark.read.option("pathGlobFilter", pattern).option("lineSep", "}").text(paths)
+    lines = lines.where(F.col("_metadata.file_size") > max_bytes).select(
+        F.xxhash64(_part()).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("value").cast("binary").alias("value"),
     )
-    bracket = F.col("line").isin("[", "]")
-    body = F.when(bracket, "null").otherwise(F.regexp_replace("line", r"[ \t\r]*,$", ""))
-    parsed = with_json(lines.where(F.col("line") != "").withColumn("body", body), "body", "object")
-    kind = F.when(bracket, F.col("line")).when(F.col("object").isNull(), "bad")
-    staged = stage(parsed.select("part", "block", "row", kind.alias("kind"), "object"), "array-lines")
-    counts = [F.count_if(F.col("kind") == k).alias(name) for k, name in (("[", "opened"), ("]", "closed"), ("bad", "bad"))]
-    blocks = stage(staged.groupBy("part", "block").agg(F.min("row").alias("first"), *counts), "blocks")
-    sums = blocks.groupBy("part").agg(*[F.sum(name).alias(name) for name in ("opened", "closed", "bad")])
-    checked = sums.select("part", F.expr("opened = 1 AND closed = 1 AND bad = 0").alias("is_array"))
-    objects = staged.where(F.col("kind").isNull() & is_object(F.col("object")))
-    placed = objects.join(blocks.select("part", "block", "first"), ["part", "block"]).join(_numbered(spark, files), "part")
-    # A line has at least one byte, so places inside a block stay below the next block's start.
-    return placed.select("part", "part_number", _seq(F.col("block") + F.col("row") - F.col("first")), "object"), checked
+    texts, whole = array_texts(lines, BLANKS)
+    is_array = F.col("array").isNotNull() & opens_with(F.col("text"), "[")
+    parsed = with_json(texts, "text", "array").withColumn("is_array", F.coalesce(is_array, F.lit(False)))
+    parsed = stage(parsed.select("file", "offset", "array", "is_array"), "array-texts")
+    numbered = _numbered(files).drop("length").withColumn("file", F.xxhash64("part"))
+    checked = parsed.groupBy("file").agg(F.min("is_array").alias("is_array")).join(whole, "file").join(numbered, "file")
+    elements = parsed.select("file", "offset", F.posexplode(F.try_variant_get("array", "$", "array<variant>")).alias("position", "object"))
+    placed = elements.where(is_object(F.col("object"))).join(numbered, "file")
+    objects = placed.select("part", "part_number", _seq(F.col("offset") + F.col("position")), "object")
+    return objects, checked.select("part", (F.col("is_array") & F.col("whole")).alias("is_array"))
 
 
 def read_json_arrays(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_ARRAY_BYTES) -> DataFrame:
-    """Files that each hold one JSON array; anything else in a file is an error.
-
-    A file above ``max_bytes`` needs its brackets and objects on lines of their own.
-    """
-    refused = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("part"))).cast("variant")
+    """Files that each hold one JSON array; anything else in a file is an error, found by any action that reads rows."""
+    refused = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("part")))
     is_array = opens_with(F.col("text"), "[") & F.col("array").isNotNull()
     parsed = with_json(_whole_files(spark, paths, max_bytes).where("text IS NOT NULL"), "text", "array")
-    arrays = parsed.withColumn("array", F.when(is_array, F.col("array")).otherwise(refused))
+    arrays = parsed.withColumn("array", F.when(is_array, F.col("array")).otherwise(refused.cast("variant")))
     small = explode_arrays(arrays.drop("text", "part"))
     large = read_large_arrays(spark, paths, max_bytes)
     if large is None:
         return small
     objects, checked = large
-    message = F.concat(F.col("part"), F.lit(" is no JSON array with one object per line; write it so or split it into part files"))
-    bad = checked.where(F.when(F.col("is_array"), False).otherwise(F.raise_error(message).cast("boolean")))
+    bad = checked.where(F.when(F.col("is_array"), False).otherwise(refused.cast("boolean")))
     none = bad.select(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("variant").alias("object"))
     return small.unionByName(objects.select("seq", "object")).union(none)
 
@@ -173,15 +173,18 @@ def order_lines(lines: DataFrame) -> DataFrame:
     """Give staged rows ``file, block, row`` a ``seq`` in file-name and line order.
 
     ``row`` rises inside a block.  One narrow aggregate finds the first and the
-    last row of each block; only that block table, one row per input split, is
-    ordered in one place.  It is written, so that its true size decides whether
+    last row of each block; blocks are summed inside their file, and files, one row each,
+    in one place.  The starts are written, so that its true size decides whether
     it is broadcast to the rows.
     """
     blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first"), F.max("row").alias("last"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "file", "block", (F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(before), F.lit(0)) - F.col("first")).alias("start")
-    )
+    blocks = blocks.withColumn("rows", F.col("last") - F.col("first") + 1)
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("file").agg(F.sum("rows").alias("rows"))
+    of_files = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("rows").over(of_files), F.lit(0)).alias("before"))
+    before = F.col("before") + F.coalesce(F.sum("rows").over(in_file), F.lit(0))
+    starts = blocks.join(files, "file").select("file", "block", (before - F.col("first")).alias("start"))
     placed = lines.join(stage(starts, "blocks"), ["file", "block"])
     return placed.select(
         (F.col("start") + F.col("row")).alias("seq"), *[c for c in lines.columns if c not in ("file", "block", "row")]
@@ -215,6 +218,11 @@ def array_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return head.groupBy("file").agg(F.min_by(opens_with(F.col("value"), "["), "row").alias("is_array"))
 
 
+def as_path(uri: str) -> str:
+    """Path of a scanned file, with the characters of patterns taken as they are."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(uri))
+
+
 def read_listing(spark: SparkSession, paths: str | list[str], ordered: bool = True, form: str = "auto") -> DataFrame:
     """Files of either form, told apart by their first character.
 
@@ -228,8 +236,7 @@ def read_listing(spark: SparkSession, paths: str | list[str], ordered: bool = Tr
     if form != "auto":
         raise ValueError(f"form must be auto, array or ndjson: {form!r}")
     forms = array_files(spark, paths).collect()  # one row per listing file
-    arrays = [unquote(row.file) for row in forms if row.is_array]
-    others = [unquote(row.file) for row in forms if not row.is_array]
+    arrays, others = ([as_path(row.file) for row in forms if row.is_array is is_array] for is_array in (True, False))
     scans = [read_json_arrays(spark, arrays)] if arrays else []
     if others:
         lines = read_ndjson(spark, others, ordered)
@@ -267,7 +274,7 @@ def read_large_parts(
         return None
     objects, checked = large
     good = objects.join(stage(checked.where("is_array").select("part"), "good"), "part", "left_semi")
-    rejected = checked.where(~F.col("is_array")).select(_file_name(), F.lit("not a JSON array with one object per line").alias("reason"))
+    rejected = checked.where(~F.col("is_array")).select(_file_name(), F.lit("not a JSON array").alias("reason"))
     return _with_prefixes(good, parts_dir), rejected
 
 

@@ -143,34 +143,69 @@ def test_unreadable_size_fails_the_manifest(spark, tmp_path):
     assert totals(totals_input(read_ndjson(spark, path, ordered=False))).first().objects == 0
 
 
-def test_large_array_is_refused(spark, array):
-    with pytest.raises(PySparkException, match="split it into part files"):
-        read_json_arrays(spark, array, max_bytes=10).collect()
-
-
 def line_array(objects):
     return "[\n" + ",\n".join(map(json.dumps, objects)) + "\n]\n"
 
 
-def test_large_array_by_lines(spark, tmp_path):
-    objects = [{"Path": f"d/{i}", "Size": i} for i in range(3000)]
+STRANGE = [{"Path": "a}{[", "Meta": {"x": [{"y": 1}, {}]}}, {"Path": 'q"}],[{\\"', "Hashes": {}}, 7, None, "]}", [{"Path": "inner"}], {}, {"Path": "\\\\"}, {"Path": "é日"}]
+FORMS = {
+    "one line": json.dumps(STRANGE * 40, ensure_ascii=False),
+    "spread": json.dumps(STRANGE * 40, indent=3),
+    "lines": line_array(STRANGE * 40),
+    "no objects": "[1, [2], \"}\"]",
+    "empty": " [ ]\n",
+    "long string": json.dumps(["x}" * 3000, {"Path": "end"}, "{" * 3000]),
+    "one object": json.dumps([{"Path": "p", "Metadata": {str(i): {"v": i} for i in range(500)}}]),
+    "compact": json.dumps([{"Path": str(i)} for i in range(3000)], separators=(",", ":")),
+    "numbers first": json.dumps([*range(900), {"Path": "z"}, *range(900)]),
+}
+
+
+@pytest.fixture
+def many_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_arrays_of_any_form_in_splits(spark, tmp_path, many_splits, name):
+    path = text_file(tmp_path / "a.json", FORMS[name])
+    objects = [o for o in json.loads(FORMS[name]) if isinstance(o, dict)]
+    for limit in (5, 10**8):
+        rows = read_json_arrays(spark, path, limit).select("seq", F.to_json("object").alias("o")).orderBy("seq").collect()
+        assert [json.loads(r.o) for r in rows] == objects and len({r.seq for r in rows}) == len(rows)
+
+
+def test_large_and_small_arrays_in_path_order(spark, tmp_path, many_splits):
+    objects = [{"Path": f"d/{i}", "Size": i} for i in range(300)]
     text_file(tmp_path / "a.json", json.dumps([{"Path": "first", "Size": 1}]))
     text_file(tmp_path / "b.json", line_array(objects))
     text_file(tmp_path / "c.json", json.dumps([{"Path": "last", "Size": 1}]))
-    want = ["first", *[o["Path"] for o in objects], "last"]
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits
-    try:
-        for limit in (10_000, 10_000_000):
-            rows = build_manifest(read_json_arrays(spark, str(tmp_path), limit), SRC, DST, "r").orderBy("seq").collect()
-            assert [r.path for r in rows] == want and len({r.seq for r in rows}) == len(rows)
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-
-
-@pytest.mark.parametrize("text", ["[\n{},\n{}\n", "{}\n]\n", "[\n{}\n]\n]\n", "[\n{},\nx\n]\n", "[{},\n{}]\n", "[\n[\n{}\n]\n"])
-def test_large_text_that_is_no_array_of_lines(spark, tmp_path, text):
-    with pytest.raises(PySparkException, match="no JSON array with one object per line"):
-        read_json_arrays(spark, text_file(tmp_path / "bad.json", text), max_bytes=2).count()
+    for limit in (100, 10**8):
+        rows = build_manifest(read_json_arrays(spark, str(tmp_path), limit), SRC, DST, "r").orderBy("seq").collect()
+        assert [r.path for r in rows] == ["first", *[o["Path"] for o in objects], "last"]
+
+
+BAD = ["[\n{},\n{}\n", "{}\n]\n", "[\n{}\n]\n]\n", "[\n{},\nx\n]\n", "[\n[\n{}\n]\n", "[{} {}]", "[{},{},]", "[,{}]", "[{},,{}]", "[{}] {}", "[{}]}",
+       "{} [{}]", "[{}, 7", "[{}, {", "[{}, {}", "[{}}]", '[{}, "x]', "[{}][{}]", "[[{}], {}", '{"a": [{}]}', "[{}\\, {}]", "xxx", "[{},{}]x"]
+
+
+def test_refusals_do_not_depend_on_size(spark, tmp_path, many_splits):
+    """The same parts are left out whether parts are read whole or in splits."""
+    for k, text in enumerate([*BAD, *FORMS.values()]):
+        text_file(tmp_path / f"lsjson-{k:03}.json", text)
+    want = {f"lsjson-{k:03}.json" for k in range(len(BAD))}
+    found = []
+    for limit in (0, 10**8):
+        combined = combine_parts(spark, str(tmp_path), SRC, DST, "r", max_bytes=limit)
+        assert {r.part for r in combined.rejected_parts.collect()} == want
+        found.append([r.path for r in combined.manifest.orderBy("seq").collect()])
+    assert found[0] == found[1]
+    with pytest.raises(PySparkException, match="not a JSON array"):
+        read_json_arrays(spark, str(tmp_path / "lsjson-000.json"), max_bytes=2).collect()
 
 
 def test_combine_large_parts(spark, tmp_path):
