@@ -193,9 +193,15 @@ def mix(docs: DataFrame, size: Column | None = None, depth: int = DEPTH, **goal)
 
 
 def mixture(docs: DataFrame, depth: int = DEPTH, **goal) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each use, with ``shard`` and ``place``, its random order in the shard."""
-    uses = mix(docs, depth=depth, **goal).select(*docs.columns, F.posexplode("shards").alias("use", "shard"))
-    return uses.withColumn("place", text_md5("place", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("use"))).drop("use")
+    """The mix itself: a row of ``docs`` for each use, with ``shard`` and ``place``, its random order in the shard.
+
+    Of ``docs`` only these two columns are replaced, should they be there.  Defined cases as in :func:`mix`.
+    """
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    uses = mix(rows, depth=depth, **goal).select("doc_id", "_row", F.posexplode("shards").alias("use", "shard"))
+    place = text_md5("place", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("use"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "place")]
+    return uses.select(*kept, "shard", place.alias("place"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,16 +58,18 @@ def simhash(text: str, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id, bits`` (the fingerprint as a signed integer) of every row; a null text counts as empty."""
+    """``doc_id, text_class, bits`` (a hash of the text, the fingerprint as a signed integer) of every row; a null text counts as empty."""
     find_package(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             bits = np.array([simhash(t, width) if t else 0 for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
+            columns = [batch.column("doc_id"), batch.column("text_class"), pa.array(bits.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_class", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(hashed, "doc_id bigint, bits bigint")
+    rows = rows.withColumn("text_class", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.mapInArrow(hashed, "doc_id bigint, text_class bigint, bits bigint")
 
 
 def _signed(value: int) -> int:
@@ -173,9 +175,9 @@ def _masked(number: int, mask: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, bits, component_id`` of every row of ``docs``.
+    """``doc_id, text_class, bits, component, component_id`` of every row of ``docs``.
 
-    ``component_id`` is the smallest doc_id that links reach, links being at most
+    ``component`` is a fingerprint that names the component, ``text_class`` a hash of the text, ``component_id`` is the smallest doc_id that links reach, links being at most
     ``distance`` differing bits.  Texts without words share fingerprint 0.  A null
     doc_id keeps its row and counts for no component; a component of such rows
     only has a null one.  Repeated rows stay.  An empty table gives no rows.
@@ -187,10 +189,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     first = members.join(prints, F.col("node") == F.col("bits")).select("bits", "root", "first_id")
     first = stage(first, "members")
     roots = stage(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "roots")
-    named = first.join(roots, "root").select(F.col("bits").alias("linked"), "component_id")
+    named = first.join(roots, "root").select(F.col("bits").alias("linked"), "root", "component_id")
     lone = F.when(F.col("linked").isNull(), F.col("first_id")).otherwise(F.col("component_id"))
-    labels = prints.join(named, F.col("bits") == F.col("linked"), "left").select("bits", lone.alias("component_id"))
-    return marks.join(stage(labels, "labels"), "bits").select("doc_id", "bits", "component_id")
+    labels = prints.join(named, F.col("bits") == F.col("linked"), "left").select("bits", F.coalesce("root", "bits").alias("component"), lone.alias("component_id"))
+    return marks.join(stage(labels, "labels"), "bits").select("doc_id", "text_class", "bits", "component", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,3 +335,41 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert rows and all(0 <= r.offset and r.offset + r.length <= 1024 for r in rows)
     assert json.dumps(rows[0].asDict(), default=str)
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, two texts under one id, clashing names."""
+    long = prose(9000)
+    near = prose(200)
+    rows = [(None, None, None, None), (None, near, "s1", 5), (None, near, "s1", 5), (1, near, "s1", 5), (2, "", None, 0), (3, long, "s2", 9), (3, "another text " + prose(30), "s2", 9), (4, BASE, "s1", 1), (4, BASE, "s1", 1), (5, BASE + " tail", None, 2)]
+    names = ["spans", "_class", "_doc", "shard", "use", "_block", "size", "score", "place", "taken", "component", "text_class", "key", "links", "_key", "lang"]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").withColumns({c: F.lit(70) for c in names}).repartition(3)
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    import corpus_pipeline as pipe
+
+    docs = odd_documents(spark)
+    rows = {}
+    kept = docs
+    for name, step in pipe.STAGES[:4]:
+        kept = step(spark, kept, SF_DIR)
+        assert kept.columns == docs.columns
+        rows[name] = kept.collect()
+        assert all(r["size"] == 70 and r.score == 70 and r.shard == 70 and r["_class"] == 70 for r in rows[name])
+        kept = spark.createDataFrame(rows[name], docs.schema)
+    assert len(rows["toxicity"]) == 10
+    single = sorted(((r.doc_id, len(r.text or "")) for r in rows["near_duplicates"]), key=str)
+    # The null text is one with the empty one; copies without an id go for the one that has one; both texts of id 3 stay.
+    assert [d for d, _ in single].count(3) == 2 and [d for d, _ in single].count(4) == 1 and None not in [d for d, _ in single] and 1 in [d for d, _ in single]
+    assert all((r.n_chars or 0) == len(r.text or "") for r in rows["repeated_passages"])
+    pieces = pipe.pack_sequences(spark, kept, SF_DIR).collect()
+    assert sum(r.length for r in pieces) > 0
+
+
+def test_pipeline_on_no_documents(spark):
+    import corpus_pipeline as pipe
+
+    docs = odd_documents(spark).limit(0)
+    for name, step in pipe.STAGES:
+        assert step(spark, docs, SF_DIR).collect() == [], name
