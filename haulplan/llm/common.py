@@ -23,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def find_package(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from any working directory.
 
-    On a cluster the package is shipped as usual (``--py-files`` or an image).  Arrow batches are kept
-    short, since texts are long: an executor holds several at once, in the JVM and in its workers.
+    On a cluster the package is shipped as usual (``--py-files`` or an image).
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
+def short_arrow_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches short, since texts are long: an executor holds several at once, in the JVM and in its workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def discard(staged: DataFrame) -> None:
     """Remove a written intermediate table that no later step reads."""
     spark = staged.sparkSession
