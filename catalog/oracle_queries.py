@@ -84,6 +84,9 @@ ORACLES["s4_combine_parts"] = f"""WITH {DOC_PARTS}, kept AS (SELECT doc_id, size
   FROM docs WHERE part % 7 NOT IN (3, 5))
  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, path, size, '{SRC}/' || path AS source, '{DST}/' || path AS dest FROM kept"""
 
+ORACLES["s4_part_files"] = ORACLES["s4_combine_parts"]
+ORACLES["s1_arrays_in_splits"] = ORACLES["s1_json_arrays"]
+
 ORACLES["s4_rejected_parts"] = f"""WITH {DOC_PARTS}
  SELECT DISTINCT printf('lsjson-%06d.json', part) AS part,
   CASE WHEN part % 7 = 3 THEN 'not JSON' ELSE 'not a JSON array' END AS reason FROM docs WHERE part % 7 IN (3, 5)"""
@@ -393,4 +396,7 @@ ORACLES["t4_progress_fine"] = progress("documents", 64)
 
 ORACLES["x1_live_manifest"] = f"WITH {DOC_PARTS} SELECT path, size, '{SRC}/' || path AS source FROM docs"
 ORACLES["x1_live_progress"] = "SELECT count(*) AS files_listed, CAST(sum(n_chars) AS BIGINT) AS bytes_listed FROM documents"
+ORACLES["x1_live_checkpoints"] = """SELECT count(*) AS files_listed, CAST(sum(n_chars) AS BIGINT) AS bytes_listed,
+ (count(*) + 63) // 64 AS reports FROM documents"""
+ORACLES["x2_live_attempts"] = ORACLES["t1_attempt_summary"]
 ORACLES["x2_live_shard_status"] = ORACLES["t1_attempt_summary"]

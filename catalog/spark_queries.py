@@ -48,6 +48,21 @@ def s1_json_arrays(spark, sf_dir):
     return ordering.record_index(manifest).select("index", "path", "size", "source")
 
 
+@query
+def s1_arrays_in_splits(spark, sf_dir):
+    """The same arrays through the block automaton, which large files take."""
+    objects = listing.read_json_arrays(spark, inputs.written_arrays(spark, sf_dir), max_bytes=0)
+    manifest = jobs.build_manifest(objects, SOURCE, DEST, RUN_ID)
+    return ordering.record_index(manifest).select("index", "path", "size", "source")
+
+
+@query
+def s4_part_files(spark, sf_dir):
+    """Part files with sidecars and damaged parts, as a folder."""
+    combined = jobs.combine_parts(spark, inputs.written_parts(spark, sf_dir), SOURCE, DEST, RUN_ID)
+    return ordering.record_index(combined.manifest).select("index", "path", "size", "source", "dest")
+
+
 @query
 def s2_ndjson(spark, sf_dir):
     objects = listing.read_ndjson(spark, inputs.written_lines(inputs.order_lines(spark, sf_dir)))
@@ -485,6 +500,27 @@ def x1_live_progress(spark, sf_dir):
     return _last_batch(spark, out)
 
 
+@query
+def x1_live_checkpoints(spark, sf_dir):
+    """Progress after every 64 records of arriving parts, over several batches."""
+    parts_dir, out = inputs.written_arrays(spark, sf_dir), staging_path(spark, "live")
+    arriving = live.stream_parts(spark, parts_dir, pattern="part-*.txt", files_per_batch=10)
+    live.append_parts(arriving, parts_dir, out, staging_path(spark, "state"), SOURCE, DEST, RUN_ID, every=64).awaitTermination()
+    listed = live.read_progress(spark, f"{out}_progress")
+    return listed.agg(F.max("files_listed").alias("files_listed"), F.max("bytes_listed").alias("bytes_listed"), F.count("*").alias("reports"))
+
+
+@query
+def x2_live_attempts(spark, sf_dir):
+    """Shard status from the raw log, numbered by keyed state."""
+    log, out, state = staging_path(spark, "log"), staging_path(spark, "status"), staging_path(spark, "state")
+    raw = inputs.attempt_log(spark, sf_dir)
+    raw.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(log)
+    arriving = spark.readStream.schema(raw.schema).parquet(log)
+    live.keep_latest(live.live_attempts(arriving), out, state, "update").awaitTermination()
+    return live.read_latest(spark, out, "shard_id")
+
+
 @query
 def x2_live_shard_status(spark, sf_dir):
     log, out, state = staging_path(spark, "log"), staging_path(spark, "status"), staging_path(spark, "state")

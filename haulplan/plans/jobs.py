@@ -42,7 +42,7 @@ def combine_parts(
 ) -> Combined:
     """One manifest of all part files of a folder; parts that cannot be read are reported, not fatal.
 
-    Parts above ``max_bytes`` are read by lines.
+    Parts above ``max_bytes`` are read in splits, to the same result.
     """
     parts = listing.read_parts(spark, parts_dir, pattern, max_bytes)
     large = listing.read_large_parts(spark, parts_dir, pattern, max_bytes)
@@ -53,9 +53,9 @@ def combine_parts(
     return Combined(build_manifest(objects, source, dest, run_id), rejected.union(large[1]))
 
 
-def combine_texts(parts: DataFrame, source: str, dest: str, run_id: str | None = None) -> Combined:
-    """As :func:`combine_parts` for a table ``part, part_number, prefix, text``."""
-    good, rejected = listing.split_parts(parts)
+def combine_texts(parts: DataFrame, source: str, dest: str, run_id: str | None = None, written: bool = False) -> Combined:
+    """As :func:`combine_parts` for a table ``part, part_number, prefix, text``; ``written`` stages the parsed parts."""
+    good, rejected = listing.split_parts(parts, written)
     return Combined(build_manifest(listing.explode_arrays(good), source, dest, run_id), rejected)
 
 

@@ -304,14 +304,15 @@ def read_prefixes(spark: SparkSession, parts_dir: str) -> DataFrame:
     )
 
 
-def split_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_parts(parts: DataFrame, written: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parsed parts and rejected parts (``part, reason``).
 
-    A part that is no JSON, no array, or too large to be read, is left out and reported.
+    A part that is no JSON, no array, or too large to be read, is left out and reported.  With ``written``
+    the parsed parts are staged, so that using both results parses the texts once.
     """
-    parsed = with_json(parts, "text", "array")
-    is_array = F.coalesce(opens_with(F.col("text"), "["), F.lit(False)) & F.col("array").isNotNull()
-    good = parsed.where(is_array).drop("text")
-    reason = F.when(F.col("text").isNull(), "too large").when(F.col("array").isNull(), "not JSON").otherwise("not a JSON array")
-    rejected = parsed.where(~is_array).select("part", reason.alias("reason"))
-    return good, rejected
+    opens = F.coalesce(opens_with(F.col("text"), "["), F.lit(False))
+    parsed = with_json(parts, "text", "array").withColumn("opens", opens).withColumn("missing", F.col("text").isNull()).drop("text")
+    parsed = stage(parsed, "parsed") if written else parsed
+    is_array = F.col("opens") & F.col("array").isNotNull()
+    reason = F.when(F.col("missing"), "too large").when(F.col("array").isNull(), "not JSON").otherwise("not a JSON array")
+    return parsed.where(is_array).drop("opens", "missing"), parsed.where(~is_array).select("part", reason.alias("reason"))

@@ -126,3 +126,29 @@ def test_plan(spark):
     sharded = plan(listing, "s", "d", num_shards=4)
     want = assign_shards(listing, 4)
     assert {(r.seq, r.shard_id) for r in sharded.collect()} == {(r.seq, r.shard_id) for r in want.collect()}
+
+
+def test_live_attempts_from_the_raw_log(spark, tmp_path):
+    """Several batches, repeated events, events behind a success, codes that are missing."""
+    log = [[(0, 1, 11, 1), (0, 2, 12, 1), (1, 1, 21, 0), (2, 1, 31, None), (0, 2, 12, 1)], [(0, 3, 13, 0), (1, 2, 22, 5), (2, 2, 32, 7), (0, 1, 11, 1)], [(0, 4, 14, 9), (2, 2, 32, 7), (3, 1, 41, None)]]
+    schema = "shard_id int, ts int, event_id bigint, rc int"
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+    for batch in log:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        live.keep_latest(live.live_attempts(stream()), str(tmp_path / "out"), str(tmp_path / "state"), "update").awaitTermination()
+    found = {r.shard_id: (r.attempts, r.status, r.last_rc) for r in live.read_latest(spark, str(tmp_path / "out"), "shard_id").collect()}
+    events = spark.createDataFrame(sorted({e for batch in log for e in batch}, key=str), schema)
+    assert found == {r.shard_id: (r.attempts, r.status, r.last_rc) for r in attempt_summary(number_attempts(events)).collect()}
+    assert found == {0: (3, "done", 0), 1: (1, "done", 0), 2: (2, "fail", 7), 3: (1, "pending", None)}
+
+
+def test_live_progress_reports_every_threshold(spark, tmp_path):
+    parts, out = tmp_path / "parts", str(tmp_path / "manifest")
+    parts.mkdir()
+    sizes = list(range(1, 58))
+    cuts = [0, 3, 3, 30, 57]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        (parts / f"lsjson-{k}.json").write_text(json.dumps([{"Path": f"p{i}", "Size": sizes[i]} for i in range(a, b)]))
+        live.append_parts(live.stream_parts(spark, str(parts)), str(parts), out, str(tmp_path / "state"), "s", "d", "r", every=10).awaitTermination()
+    rows = live.read_progress(spark, f"{out}_progress").orderBy("checkpoint").collect()
+    assert [(r.files_listed, r.bytes_listed) for r in rows] == [(n, sum(sizes[:n])) for n in (10, 20, 30, 40, 50, 57)]
