@@ -3,13 +3,14 @@
 One pass folds the sizes into ordered buckets that are 1/1024 of a power of two
 wide (:func:`size_summary`).  Totals, shares, extremes and histograms come from
 that small table.  An exact percentile then needs one more narrow pass over the
-few buckets that hold a wanted rank.
+few buckets that hold a wanted rank, and further ones only where such a bucket holds many records.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ LARGE_ABOVE = 100 * MIB
 # Reported percentiles.
 QUANTILES = {"p10_size": 0.1, "median_size": 0.5, "p90_size": 0.9}
 
+#: Bits of a size that one round of a selection settles, and records below which a range is settled at once.
+DIGIT_BITS = 12
+FEW = 1 << 16
+
+#: Tasks over which the records of one group and bucket are spread.
+SALTS = 16
+
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality of the key columns (a group may be null)."""
@@ -57,19 +65,82 @@ def size_summary(sizes: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def held(rows: DataFrame, group_cols: Sequence[str], label: str) -> DataFrame:
+    """Rows that are used several times: written if there are groups, else (a few rows) kept in the plan."""
+    if group_cols:
+        return stage(rows, label)
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def rows_in_buckets(sizes: DataFrame, group_cols: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """``group_cols, _bucket, size`` of the records in wanted buckets, with the other columns of ``wanted``.
+
+    ``wanted`` may name a bucket several times.  Records of buckets that no group wants are left out
+    before any join with groups, and a group that holds most records is spread over ``SALTS`` tasks.
+    """
+    known = sizes.select(*group_cols, F.coalesce("size", F.lit(0).cast("bigint")).alias("size"))
+    known = known.withColumn("_bucket", coarse_size("size"))
+    if not group_cols:
+        return known.join(F.broadcast(wanted), "_bucket")  # a few rows, see held
+    near = known.join(F.broadcast(wanted.select("_bucket").distinct()), "_bucket", "left_semi")  # at most 2^16 buckets
+    keys = [*group_cols, "_bucket"]
+    others = [name for name in wanted.columns if name not in keys]
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    wanted = wanted.withColumnsRenamed({key: f"_of_{key}" for key in keys}).withColumn("_of_salt", salts)
+    rows = near.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+    return rows.join(wanted, reduce(and_, [*same, F.col("_salt") == F.col("_of_salt")])).select(*keys, "size", *others)
+
+
 def _wanted_ranks(summary: DataFrame, group_cols: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
-    """Bucket of each quantile, and the rank left inside that bucket."""
+    """Bucket of each quantile, the rank left inside it, its smallest size, the bits of its range, its records."""
     group = Window.partitionBy(*group_cols)
     upto = F.sum("_files").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = summary.select(*group_cols, "_bucket", "_files", upto.alias("_upto"), F.sum("_files").over(group).alias("_n"))
+    ranked = summary.withColumns({"_upto": upto, "_n": F.sum("_files").over(group)})
     ranks = ", ".join(f"struct('{name}' AS _name, floor({q!r}D * (_n - 1)) AS _rank)" for name, q in quantiles.items())
     return (
         ranked.withColumn("_wanted", F.expr(f"explode(array({ranks}))"))
         .where("_wanted._rank >= _upto - _files AND _wanted._rank < _upto")
-        .select(*group_cols, "_bucket", F.expr("_wanted._name AS _name"), F.expr("_wanted._rank - (_upto - _files) AS _rank"))
+        .selectExpr(
+            *group_cols,
+            "_bucket",
+            "_wanted._name AS _name",
+            "_wanted._rank - (_upto - _files) AS _rank",
+            "_smallest AS _low",
+            "CASE WHEN _biggest = _smallest THEN 0 ELSE length(bin(_biggest - _smallest)) END AS _width",
+            "_files",
+        )
     )
 
 
+def _next_digit(sizes: DataFrame, group_cols: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """``wanted`` with each open range narrowed by one digit of the sizes counted above its lower end.
+
+    A digit has ``DIGIT_BITS`` bits, or all that are left where the range holds few records, so a
+    range never has more than ``2**DIGIT_BITS`` or ``FEW`` counts.
+    """
+    key = [*group_cols, "_bucket", "_low"]
+    shift = f"CASE WHEN _files <= {FEW} THEN 0 ELSE greatest(_width - {DIGIT_BITS}, 0) END"
+    unsettled = wanted.where("_width > 0").withColumn("_shift", F.expr(shift))
+    ranges = unsettled.select(*key, "_width", "_shift").distinct()
+    inside = rows_in_buckets(sizes, group_cols, ranges).where("size >= _low AND shiftright(size - _low, _width) = 0")
+    digits = inside.groupBy(*key, F.expr("shiftright(size - _low, _shift) AS _digit")).agg(F.count("*").alias("_count"))
+    upto = F.sum("_count").over(Window.partitionBy(*key).orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0))
+    digits = digits.withColumn("_upto", upto).withColumnsRenamed({name: f"_of{name}" for name in key})
+    same = [F.col(name).eqNullSafe(F.col(f"_of{name}")) for name in key]
+    found = unsettled.join(digits, reduce(and_, same) & (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_count")))
+    narrowed = found.selectExpr(
+        *group_cols,
+        "_bucket",
+        "_name",
+        "_rank - (_upto - _count) AS _rank",
+        "_low + shiftleft(_digit, _shift) AS _low",
+        "_shift AS _width",
+        "_count AS _files",
+    )
+    return wanted.where("_width = 0").unionByName(narrowed)
+
+
 def order_statistics(
     sizes: DataFrame,
     group_cols: Sequence[str] = (),
@@ -78,31 +149,15 @@ def order_statistics(
 ) -> DataFrame:
     """Exact elements at index ``floor(q * (n - 1))`` of the sorted sizes, one column per quantile.
 
-    Only rows of wanted buckets are counted by distinct size.  Such a bucket
-    spans 1/1024 of a power of two, and a listing of 1 EiB can hold no more than
-    ``min(2**(e - 10), 2**(60 - e))`` distinct sizes in it, at most 2**25.
+    Radix selection: the bucket that holds a rank is narrowed digit by digit on counts, for all
+    quantiles and groups in one job a round.  Buckets with one size need no round, those
+    with few records one, and the widest possible (2^53 sizes) five.
     """
     summary = size_summary(sizes, group_cols) if summary is None else summary
-    wanted = _wanted_ranks(summary, group_cols, quantiles)
-    keys = [*group_cols, "_bucket"]
-    if group_cols:
-        # Written table: its true size decides whether it is broadcast.
-        wanted = stage(wanted, "ranks")
-        buckets = wanted.select(keys).distinct()
-    else:
-        buckets = F.broadcast(wanted.select(keys).distinct())  # one row per quantile
-    known = sizes.select(*group_cols, F.coalesce("size", F.lit(0).cast("bigint")).alias("size"))
-    rows = known.select(*group_cols, "size", coarse_size("size").alias("_bucket"))
-    counted = rows.join(buckets, same_keys(rows, buckets, keys), "left_semi").groupBy(*keys, "size").agg(F.count("*").alias("_files"))
-    upto = F.sum("_files").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    counted = counted.select(*keys, "size", "_files", upto.alias("_upto"))
-    if not group_cols:
-        wanted = F.broadcast(wanted)
-    in_place = (wanted["_rank"] < counted["_upto"]) & (wanted["_rank"] >= counted["_upto"] - counted["_files"])
-    found = counted.join(wanted, same_keys(counted, wanted, keys) & in_place)
-    return found.groupBy(*[counted[key] for key in group_cols]).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col("size"))).alias(name) for name in quantiles]
-    )
+    wanted = held(_wanted_ranks(summary, group_cols, quantiles), group_cols, "ranks")
+    while not wanted.where("_width > 0").isEmpty():
+        wanted = held(_next_digit(sizes, group_cols, wanted), group_cols, "ranks")
+    return wanted.groupBy(*group_cols).agg(*[F.max(F.when(F.col("_name") == name, F.col("_low"))).alias(name) for name in quantiles])
 
 
 def size_stats(sizes: DataFrame, group_cols: Sequence[str] = (), summary: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from haulplan.operators.stats import order_statistics, size_stats, size_summary, totals
+from haulplan.operators.stats import QUANTILES, order_statistics, size_stats, size_summary, totals
 
 MIB = 1024**2
 
@@ -68,3 +68,24 @@ def test_totals(sizes_of, spark):
 
 def test_summary_is_small(sizes_of):
     assert size_summary(sizes_of([2**30 + i for i in range(5000)])).count() == 1
+
+
+@pytest.mark.parametrize("groups", [0, 1])
+def test_many_sizes_in_one_bucket(spark, groups):
+    """10 million different sizes of one bucket: rounds of digits, no list of sizes."""
+    low, n = 2**44, 10_000_000
+    sizes = spark.range(n).selectExpr(f"{low}L + (id * 7919L) % {n}L * 1001L AS size", "'g' AS name")
+    assert size_summary(sizes).count() == 1
+    quantiles = {"q0": 0.0, "q1": 0.123, "q2": 0.5, "q3": 0.999, "q4": 1.0}
+    found = order_statistics(sizes, ["name"][:groups], quantiles).first().asDict()
+    assert {name: found[name] for name in quantiles} == {name: low + int(q * (n - 1)) * 1001 for name, q in quantiles.items()}
+
+
+def test_ranks_of_many_records_of_few_sizes(spark):
+    """Ranges that stay large until their last digit."""
+    sizes = spark.range(400_000).selectExpr("CASE WHEN id % 4 = 0 THEN 2L * 1099511627776 ELSE 2L * 1099511627776 + 1 + id % 3 END AS size", "id % 2 AS k")
+    rows = sorted((r.size, r.k) for r in sizes.collect())
+    for key in (0, 1):
+        mine = [size for size, k in rows if k == key]
+        found = order_statistics(sizes, ["k"]).where(f"k = {key}").first().asDict()
+        assert [found[name] for name in QUANTILES] == [mine[int(q * (len(mine) - 1))] for q in QUANTILES.values()]
