@@ -135,19 +135,24 @@ def written_arrays(spark: SparkSession, sf_dir: str) -> str:
 def written_parts(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the damaged arrays as part files, and a sidecar file for each prefix."""
     path = staging_path(spark, "parts")
-    parts = damaged_arrays(spark, sf_dir).orderBy("part_number")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in parts.toLocalIterator():  # one file for each 40 documents
-        texts = {row.part: row.text, row.part.replace(".json", ".prefix"): f" {row.prefix}\n" if row.prefix else None}
-        for name, text in texts.items():
-            if text is not None:
-                out = files.create(spark._jvm.org.apache.hadoop.fs.Path(path, name))
-                out.write(bytearray(text.encode()))
-                out.close()
+    for row in damaged_arrays(spark, sf_dir).orderBy("part_number").toLocalIterator():  # one file for each 40 documents
+        write_file(spark, path, row.part, row.text)
+        if row.prefix:
+            write_file(spark, path, row.part.replace(".json", ".prefix"), f" {row.prefix}\n")
     return path
 
 
+def write_file(spark: SparkSession, folder: str, name: str, text: str, changed_at: int | None = None) -> None:
+    """Write one small file; ``changed_at`` sets its time in milliseconds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if changed_at is not None:
+        files.setTimes(path, changed_at, -1)
+
+
 def written_lines(lines: DataFrame) -> str:
     """Folder with the lines of ``seq, value`` in order."""
     path = staging_path(lines.sparkSession, "ndjson")

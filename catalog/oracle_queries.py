@@ -316,6 +316,9 @@ ORACLES["k2_shard_positions"] = f"""WITH {manifest('orders')}, dealt AS (
   SELECT seq, size, CAST((row_number() OVER (ORDER BY seq) - 1) % 7 AS INTEGER) AS shard_id FROM manifest)
  SELECT seq, shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY seq) - 1 AS shard_pos,
   row_number() OVER (PARTITION BY shard_id ORDER BY size DESC, seq) - 1 AS pos_by_size FROM dealt"""
+ORACLES["k2_shard_by_index"] = f"""WITH {manifest('orders')}, dealt AS (
+  SELECT seq, path, size, row_number() OVER (ORDER BY seq) - 1 AS place FROM manifest)
+ SELECT place // 3 AS shard_pos, seq, path, size FROM dealt WHERE place % 3 = 1"""
 ORACLES["k2_file_per_shard"] = f"""WITH {manifest('documents')}, placed AS (
   SELECT seq, path, CAST({sha1_modulo('source', 40)} AS INTEGER) AS shard_id FROM manifest)
  SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY seq) - 1 AS shard_pos, seq, path FROM placed"""
@@ -378,6 +381,9 @@ ORACLES["t1_attempt_summary"] = f"WITH {ATTEMPTS} SELECT * FROM seen"
 ORACLES["t1_shard_status"] = f"WITH {STATUS} SELECT * FROM state"
 ORACLES["t2_pending_work"] = f"""WITH {STATUS} SELECT o_custkey AS shard_id, o_orderkey AS seq, o_totalprice FROM orders
  WHERE o_custkey NOT IN (SELECT shard_id FROM state WHERE status = 'done')"""
+ORACLES["t2_pending_folders"] = f"""WITH {manifest('orders')}, dealt AS (SELECT CAST(seq % 32 AS INTEGER) AS shard_id, seq, path, size FROM manifest),
+ done AS (SELECT DISTINCT user_id % 32 AS shard_id FROM events WHERE event_type = 'purchase' AND user_id % 32 < 20)
+ SELECT * FROM dealt WHERE shard_id NOT IN (SELECT shard_id FROM done)"""
 ORACLES["t3_retry_plan"] = f"""WITH {STATUS} SELECT *, CASE WHEN status = 'done' THEN 'none' WHEN status = 'pending' THEN 'start'
   WHEN attempts < 60 THEN 'retry' ELSE 'exhausted' END AS action FROM state"""
 
@@ -395,6 +401,7 @@ ORACLES["t4_progress_fine"] = progress("documents", 64)
 # --- Streams ---------------------------------------------------------------
 
 ORACLES["x1_live_manifest"] = f"WITH {DOC_PARTS} SELECT path, size, '{SRC}/' || path AS source FROM docs"
+ORACLES["x1_late_sidecars"] = f"SELECT path, size, source FROM ({ORACLES['s4_combine_parts']})"
 ORACLES["x1_live_progress"] = "SELECT count(*) AS files_listed, CAST(sum(n_chars) AS BIGINT) AS bytes_listed FROM documents"
 ORACLES["x1_live_checkpoints"] = """SELECT count(*) AS files_listed, CAST(sum(n_chars) AS BIGINT) AS bytes_listed,
  (count(*) + 63) // 64 AS reports FROM documents"""

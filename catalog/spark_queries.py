@@ -331,6 +331,15 @@ def k2_one_shard_positions(spark, sf_dir):
     return shards.shard_positions(sharded, "bytes").select("seq", "shard_pos")
 
 
+@query
+def k2_shard_by_index(spark, sf_dir):
+    """One shard of three, spread over many files, by its segment list."""
+    sharded = shards.assign_shards(inputs.manifest(spark, sf_dir, "orders"), 3, "count")
+    path = staging_path(spark, "shards")
+    shard_files.write_shards(sharded, path, 3, "count", "parquet", partitions=24)
+    return shard_files.read_shard(spark, path, sharded.schema, 1).select("shard_pos", "seq", "path", "size")
+
+
 @query
 def k2_file_per_shard(spark, sf_dir):
     sharded = shards.assign_shards(inputs.manifest(spark, sf_dir, "documents"), 40, "hash")
@@ -464,6 +473,18 @@ def t2_pending_work(spark, sf_dir):
     return attempts.pending_work(sharded, status)
 
 
+@query
+def t2_pending_folders(spark, sf_dir):
+    """Records of unfinished shards out of a shard folder; shards from 20 on never succeed."""
+    sharded = inputs.manifest(spark, sf_dir, "orders").withColumn("shard_id", F.expr("cast(seq % 32 AS int)"))
+    path = staging_path(spark, "shards")
+    shard_files.write_shards(sharded, path, 32, "count")
+    log = inputs.attempt_log(spark, sf_dir).withColumn("shard_id", F.expr("cast(shard_id % 32 AS int)"))
+    log = log.withColumn("rc", F.expr("CASE WHEN shard_id < 20 THEN rc ELSE 1 END"))
+    status = attempts.shard_status(shards.shard_summary(sharded, 32), attempts.number_attempts(log))
+    return shard_files.read_pending(spark, path, sharded.schema, status).select("shard_id", "seq", "path", "size")
+
+
 @query
 def t3_retry_plan(spark, sf_dir):
     status = attempts.shard_status(_event_shards(spark, sf_dir), inputs.attempts(spark, sf_dir))
@@ -492,6 +513,30 @@ def x1_live_manifest(spark, sf_dir):
     return spark.read.parquet(out).select("path", "size", "source")
 
 
+@query
+def x1_late_sidecars(spark, sf_dir):
+    """Parts first, their sidecars a minute later, then a part that lets the rest go unprefixed."""
+    parts_dir, out, state = staging_path(spark, "parts"), staging_path(spark, "live"), staging_path(spark, "state")
+    parts = inputs.damaged_arrays(spark, sf_dir).select("part", "prefix", "text")
+    minute = 60_000
+    start = 20_000_000 * minute
+
+    def run():
+        arriving = live.stream_parts_and_sidecars(spark, parts_dir, "5 minutes")
+        live.append_parts(arriving, parts_dir, out, state, SOURCE, DEST, RUN_ID).awaitTermination()
+
+    for row in parts.toLocalIterator():  # one file for each 40 documents
+        inputs.write_file(spark, parts_dir, row.part, row.text, start)
+    run()
+    for row in parts.drop("text").toLocalIterator():
+        if row.prefix:
+            inputs.write_file(spark, parts_dir, row.part.replace(".json", ".prefix"), f" {row.prefix}\n", start + minute)
+    run()
+    inputs.write_file(spark, parts_dir, "lsjson-end.json", "[]", start + 20 * minute)
+    run()
+    return spark.read.parquet(out).select("path", "size", "source")
+
+
 @query
 def x1_live_progress(spark, sf_dir):
     out = staging_path(spark, "progress")

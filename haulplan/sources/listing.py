@@ -300,10 +300,14 @@ def read_prefixes(spark: SparkSession, parts_dir: str) -> DataFrame:
     sidecars = spark.read.option("pathGlobFilter", "*.prefix").text(parts_dir, wholetext=True)
     return sidecars.select(
         file_stem(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("stem"),
-        F.regexp_replace("value", r"^\s+|\s+$", "").alias("prefix"),
+        stripped("value").alias("prefix"),
     )
 
 
+def stripped(text: str) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def split_parts(parts: DataFrame, written: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parsed parts and rejected parts (``part, reason``).
 

@@ -1,4 +1,6 @@
 import json
+import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +86,35 @@ def test_arriving_parts(spark, tmp_path):
     assert [r.part for r in spark.read.json(f"{out}_rejected").collect()] == ["lsjson-3.json"]
 
 
+def test_late_sidecars(spark, tmp_path):
+    """A sidecar after its part counts; a part without one waits for a file that is young enough."""
+    parts, out, state = tmp_path / "parts", str(tmp_path / "manifest"), str(tmp_path / "state")
+    parts.mkdir()
+
+    def arrive(name, text, minute):
+        (parts / name).write_text(text)
+        os.utime(parts / name, (10**9 + 60 * minute,) * 2)
+
+    def run():
+        arriving = live.stream_parts_and_sidecars(spark, str(parts), "5 minutes")
+        live.append_parts(arriving, str(parts), out, state, "s:b", "d:b", "r").awaitTermination()
+        rows = spark.read.parquet(out).select("path", "size").collect() if list(Path(out).glob("batch=*/*.parquet")) else []
+        return sorted(tuple(r) for r in rows)
+
+    arrive("lsjson-1.json", '[{"Path": "a", "Size": 4}]', 0)
+    arrive("lsjson-2.json", '[{"Path": "b", "Size": 5}]', 1)
+    arrive("lsjson-3.json", "[broken", 1)
+    assert run() == []
+    arrive("lsjson-1.prefix", " late/x\n", 3)
+    assert run() == [("late/x/a", 4)]
+    arrive("lsjson-4.json", '[{"Path": "c"}]', 4)
+    arrive("lsjson-4.prefix", "same", 4)
+    assert run() == [("late/x/a", 4), ("same/c", 0)]
+    arrive("lsjson-5.json", "[]", 30)
+    assert run() == [("b", 5), ("late/x/a", 4), ("same/c", 0)]
+    assert [r.part for r in spark.read.json(f"{out}_rejected").collect()] == ["lsjson-3.json"]
+
+
 def totals_row(spark):
     return spark.createDataFrame([("a", 10**12), ("b", 0)], "name string, bytes_total bigint")
 
