@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -170,6 +172,45 @@ def test_vector_search(spark):
             scores = [(-int((q[: len(v)] * v[: len(q)]).sum()), i is None, i or 0, i) for j, (i, v) in enumerate(usable) if j != k]
             want += [(query, rank, s[3], -s[0]) for rank, s in enumerate(sorted(scores)[:20], 1)]
     assert ordered(got) == ordered(want)
+    assert vector_search.top_k(table, table.where("false")).count() == 0
+    assert vector_search.top_k(table.where("false"), table).count() == 0
+
+
+@pytest.mark.parametrize("largest", [1e9, 3e38, 1e300])
+def test_vector_search_of_large_components(spark, largest):
+    """One outlier among usual values, equal vectors, and scores that no long holds."""
+    vectors = [[chance.uniform(-1, 1) for _ in range(12)] for _ in range(90)]
+    for n in (3, 20, 40, 41):
+        vectors[n][n % 12] = largest * (-1) ** n
+    vectors[60] = vectors[20]
+    rows = [(i, v, 7) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int").withColumn("row", F.monotonically_increasing_id())
+    table = vector_search.stage(table, "vectors")
+    got = vector_search.top_k(table, table.where("vec_id % 20 = 0"), 7).collect()
+    whole = [[math.floor(64 * Fraction(x)) for x in v] for v in vectors]
+    want = []
+    for q in range(0, 90, 20):
+        scores = sorted((-sum(x * y for x, y in zip(whole[q], v)), c) for c, v in enumerate(whole) if c != q)
+        want += [(q, rank, c, min(max(-s, -(2**63)), 2**63 - 1)) for rank, (s, c) in enumerate(scores[:7], 1)]
+    assert ordered(got) == ordered(want)
+
+
+@pytest.mark.parametrize("scale", [1, 1e7])
+def test_vector_search_keeps_ties_and_prunes(scale):
+    """Few heavy dimensions: survivors are followed one query at a time, with exact sums and without."""
+    draw = np.random.default_rng(5)
+    matrix = np.floor(64 * scale * draw.normal(size=(40, 700)) * np.where(np.arange(40) < 8, 1, 0.02)[:, None]) / 64
+    matrix[:, 300:310] = matrix[:, :1]
+    same = np.arange(0, 700, 7)
+    whole = (64 * matrix).astype(np.int64).astype(object)
+    scores = whole[:, same].T @ whole
+    scores[np.arange(len(same)), same] = -(10**30)
+    least = np.sort(scores, axis=1)[:, -5].astype(float) * (1 - 1e-9) - 1
+    for threshold in (None, least):
+        for n, (found, values) in enumerate(vector_search.best_of_blocks(matrix[:, same], matrix, same, 5, threshold, 4)):
+            floor = sorted(scores[n])[-5]
+            got = dict(zip(found.tolist(), values))
+            assert {c: v for c, v in got.items() if v >= floor} == {c: v for c, v in enumerate(scores[n]) if v >= floor}
 
 
 def counted(text):
