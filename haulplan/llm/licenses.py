@@ -1,105 +1,158 @@
 """Licence scan by Dice similarity of word bigrams, with DataFrame functions only.
 
-Each line of a text, and the text as a whole, is normalised and compared with
-licence templates as a set of word bigrams.  A Dice coefficient of at least ``d``
-needs ``d / (2 - d)`` to ``(2 - d) / d`` times a template's bigrams, so a template
-is listed under each size within its bounds, and a unit meets only the templates
-listed under its own size.  Units whose size no template allows are dropped before
-their bigrams are made.  Nothing is shuffled: templates are a parameter of at most
-``MOST_TEMPLATES`` rows, checked, and joined as a broadcast table.
+Units of a text are normalised and compared with licence templates as sets of word
+bigrams.  A Dice coefficient of at least ``d`` needs ``d / (2 - d)`` to ``(2 - d) / d``
+times a template's bigrams.  Units are
+
+- each line, and the text as a whole: a template is listed under the size classes that
+  its bounds touch, and a unit meets only templates of its own class;
+- windows of words, for notices that are wrapped over lines or stand inside one.  A
+  template has anchors, its longest bigrams, so many that a unit which lacks them all
+  is below the coefficient.  Where an anchor occurs, the words are compared that the
+  template would cover.  A window with several anchors is made by its first one.
+
+Nothing is shuffled as long as templates are few: they are a parameter, joined as a
+broadcast table up to ``MOST_SENT`` rows, and with more as Spark sees fit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulplan.llm.common import table
+from haulplan.llm.license_texts import NOTICES, TEXTS
 
 DICE = 0.8
-MOST_TEMPLATES = 1000
-MOST_SIZES = 200_000  # rows of the template table by size
-
-# Usual notices of well-known licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-file": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction."
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
-        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
-    ),
-}
+STEP = 1.25  # a size class reaches from a power of this to the next
+MOST_SENT = 10_000  # rows of a template table that is broadcast by hint
+MOST_LISTED = 50_000  # anchors that a generator looks for itself
 
+TEMPLATES = {**NOTICES, **TEXTS}
 
-def bigram_set(text: Column) -> Column:
-    """Distinct pairs of neighbouring words; words are letters and digits in lower case.
 
-    The words are bound to a lambda's variable, so they are made once a unit.
-    """
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ", -1), lambda w: w != "")
-    none = F.expr("cast(array() as array<string>)")
+def unit_words(text: Column) -> Column:
+    """Words of a text: letters and digits in lower case."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ", -1), lambda w: w != "")
+
+
+def pair_at(w: Column, i: Column) -> Column:
+    return F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
+
+
+def pairs_of(w: Column) -> Column:
+    """Distinct pairs of neighbouring words."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: pair_at(w, i))
+    return F.when(F.size(w) < 2, F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(pairs))
+
 
-    def pairs(w: Column) -> Column:
-        pair = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))
-        return F.when(F.size(w) < 2, none).otherwise(F.array_distinct(pair))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once a row as a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    return F.get(F.transform(F.array(words), pairs), 0)
+
+def bigram_set(text: Column) -> Column:
+    return bound(unit_words(text), pairs_of)
+
+
+def size_class(size: Column) -> Column:
+    return F.floor(F.log(size) / F.log(F.lit(STEP))).cast("int")
 
 
-def templates_by_size(spark: SparkSession, templates: Mapping[str, str], dice: float) -> DataFrame:
-    """``size, license, template`` for each number of bigrams that a template's bounds allow."""
+def template_rows(spark: SparkSession, templates: Mapping[str, str], dice: float) -> DataFrame:
+    """``license, words, template`` (its bigrams) with ``low`` and ``high``, the sizes that its bounds allow."""
     if not 0 < dice <= 1:
         raise ValueError(f"the coefficient must be above 0 and at most 1: {dice}")
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates: {len(templates)}")
     rows = spark.createDataFrame(list(templates.items()), "license string, text string")
-    rows = rows.select("license", F.explode(F.array(bigram_set(F.col("text")))).alias("template")).where(F.size("template") > 0)
+    rows = rows.select("license", F.explode(F.array(unit_words(F.col("text")))).alias("words"))
+    rows = rows.withColumn("template", pairs_of(F.col("words"))).where(F.size("template") > 0)
     low = F.ceil(F.size("template") * F.lit(dice / (2 - dice)) - 1e-9).cast("int")
     high = F.floor(F.size("template") * F.lit((2 - dice) / dice) + 1e-9).cast("int")
-    return rows.select("license", "template", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("size"))
+    return rows.withColumns({"low": F.greatest(low, F.lit(1)), "high": high})
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
-    """``doc_id, line, license, dice`` for every unit and template with at least the coefficient.
+def template_anchors(rows: DataFrame, dice: float) -> DataFrame:
+    """``anchor, offset, license, length, template, anchors``: each place of an anchor in its template.
 
-    ``line`` counts from 0; the whole text is line -1, where it has several lines.
-    Null and blank texts match nothing; repeated rows are reported as often.
+    ``length`` counts words; ``anchors`` lists all places of the template's anchors.
     """
-    by_size = templates_by_size(docs.sparkSession, templates, dice)
-    bounds = by_size.agg(F.count("*").alias("rows"), F.min("size").alias("low"), F.max("size").alias("high")).first()
-    if not bounds["rows"]:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, line int, license string, dice double")
-    if bounds["rows"] > MOST_SIZES:
-        raise ValueError("the templates are too long to list by size; use shorter ones or a higher coefficient")
+    count = F.floor(F.size("template") * F.lit((2 - 2 * dice) / (2 - dice)) + 1e-9).cast("int") + 1
+    by_length = F.array_sort(F.transform("template", lambda b: F.struct(-F.length(b), b.alias("b"))))
+    chosen = rows.withColumn("chosen", F.transform(F.slice(by_length, F.lit(1), count), lambda x: x["b"]))
+    places = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(i.alias("offset"), pair_at(F.col("words"), i).alias("anchor")))
+    chosen = chosen.withColumn("anchors", F.filter(places, lambda x: F.array_contains("chosen", x["anchor"])))
+    length = F.size("words").alias("length")
+    kept = ["license", "low", "high", "template", "anchors"]
+    return chosen.select(*kept, length, F.explode("anchors").alias("a")).select("a.*", "length", *kept)
+
+
+def dice_of(pairs: str, template: str) -> Column:
+    return 2.0 * F.size(F.array_intersect(pairs, template)) / (F.size(pairs) + F.size(template))
+
+
+def sent(rows: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(rows) if count <= MOST_SENT else rows
+
+
+def scan_units(docs: DataFrame, rows: DataFrame, dice: float) -> DataFrame:
+    """``doc_id, line, word, license, dice`` of lines, and of whole texts with several lines (line -1); ``word`` is null."""
+    bounds = rows.agg(F.count("*").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    classes = F.sequence(size_class(F.col("low")), size_class(F.col("high")))
+    by_class = rows.select("license", "template", "low", "high", F.explode(classes).alias("class"))
     text = F.col("text").cast("string")
     lines = docs.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("line", "unit"))
     whole = docs.where(F.instr(text, "\n") > 0).select("doc_id", F.lit(-1).alias("line"), text.alias("unit"))
     # A unit of n bigrams has n + 1 words with a sign between them at least.  Only sizes in bounds leave the generator.
-    units = lines.union(whole).where(F.length("unit") > 2 * bounds["low"])
-    fits = F.filter(F.array(bigram_set(F.col("unit"))), lambda p: F.size(p).between(bounds["low"], bounds["high"]))
-    units = units.select("doc_id", "line", F.explode(fits).alias("pairs")).withColumn("size", F.size("pairs"))
-    met = units.join(F.broadcast(by_size), "size")  # at most MOST_SIZES rows
-    common = 2.0 * F.size(F.array_intersect("pairs", "template")) / (F.col("size") + F.size("template"))
-    return met.select("doc_id", "line", "license", common.alias("dice")).where(F.col("dice") >= dice)
+    units = lines.union(whole).where(F.length("unit") > 2 * F.lit(bounds["low"] or 0))
+    fits = F.filter(F.array(bigram_set(F.col("unit"))), lambda p: F.size(p).between(F.lit(bounds["low"]), F.lit(bounds["high"])))
+    units = units.select("doc_id", "line", F.explode(fits).alias("pairs")).withColumn("class", size_class(F.size("pairs")))
+    met = units.join(sent(by_class, 8 * bounds["rows"]), "class").where(F.size("pairs").between(F.col("low"), F.col("high")))
+    found = met.select("doc_id", "line", F.lit(None).cast("int").alias("word"), "license", dice_of("pairs", "template").alias("dice"))
+    return found.where(F.col("dice") >= dice)
+
+
+def scan_windows(docs: DataFrame, rows: DataFrame, dice: float) -> DataFrame:
+    """``doc_id, line, word, license, dice`` of windows (line -2) by their first word, counted from 0 in the whole text.
+
+    A window has a template's number of words and an anchor at its place in the template;
+    at the ends of a text it is cut off.
+    """
+    anchors = template_anchors(rows, dice)
+    known = anchors.agg(F.count("*").alias("rows"), F.max("length").alias("longest"), F.count_distinct("anchor").alias("distinct")).first()
+    listed = [r["anchor"] for r in anchors.select("anchor").distinct().collect()] if known["distinct"] <= MOST_LISTED else None
+    reach = F.lit(known["longest"] or 0)
+
+    def hits(w: Column) -> Column:
+        places = F.when(F.size(w) < 2, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(0), F.size(w) - 2))
+        met = places if listed is None else F.filter(places, lambda i: pair_at(w, i).isin(listed))
+        near = lambda i: F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach)
+        return F.transform(met, lambda i: F.struct(i.alias("at"), pair_at(w, i).alias("anchor"), near(i).alias("near")))
+
+    found = docs.select("doc_id", F.explode(bound(unit_words(F.col("text").cast("string")), hits)).alias("hit")).select("doc_id", "hit.*")
+    met = found.join(sent(anchors, known["rows"]), "anchor").withColumn("first", F.least("at", reach) - F.col("offset"))
+    same = lambda x: (F.col("first") + x["offset"] >= 0) & (pair_at(F.col("near"), F.col("first") + x["offset"]) == x["anchor"])
+    met = met.where(~F.exists("anchors", lambda x: (x["offset"] < F.col("offset")) & F.coalesce(same(x), F.lit(False))))
+    begin = F.greatest("first", F.lit(0))
+    pairs = bound(F.slice("near", begin + 1, F.col("first") + F.col("length") - begin), pairs_of)
+    met = met.withColumn("pairs", pairs).where(F.size("pairs").between(F.col("low"), F.col("high")))
+    word = F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("word")
+    return met.select("doc_id", F.lit(-2).alias("line"), word, "license", dice_of("pairs", "template").alias("dice")).where(F.col("dice") >= dice)
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
+    """``doc_id, line, word, license, dice`` for every unit and template with at least the coefficient.
+
+    ``line`` counts from 0; the whole text is line -1, where it has several lines, and a
+    window is line -2 with the number of its first ``word``.  A notice that fills a line is found
+    as a line and as a window.  Null, empty and blank texts match nothing; repeated rows
+    are reported as often; an empty table gives no rows; other columns are ignored.  Texts
+    may be of any length: of a long one only the words around anchors leave the generator.
+    """
+    rows = template_rows(docs.sparkSession, templates, dice)
+    docs = docs.select("doc_id", "text")
+    return scan_units(docs, rows, dice).union(scan_windows(docs, rows, dice))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,14 +170,28 @@ def _sql_bigrams(words: str) -> str:
 
 def oracle() -> str:
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    spare = (2 - 2 * DICE) / (2 - DICE)
     return f"""
-WITH t AS (SELECT license, {_sql_bigrams('w')} AS b FROM (SELECT license, {_sql_words('text')} AS w FROM (VALUES {values}) v(license, text))),
+WITH tw AS MATERIALIZED (SELECT license, {_sql_words('text')} AS w FROM (VALUES {values}) v(license, text)),
+t AS MATERIALIZED (SELECT license, len(w) AS m, {_sql_bigrams('w')} AS b FROM tw),
+tp AS (SELECT license, i AS "offset", w[i + 1] || ' ' || w[i + 2] AS pair FROM (SELECT license, w, unnest(range(0, len(w) - 1)) AS i FROM tw)),
+tr AS (SELECT license, pair, row_number() OVER (PARTITION BY license ORDER BY length(pair) DESC, pair) AS n FROM (SELECT DISTINCT license, pair FROM tp)),
+ta AS MATERIALIZED (
+  SELECT tp.license, tp."offset", tp.pair, t.m, t.b FROM tp JOIN tr USING (license, pair) JOIN t USING (license)
+  WHERE tr.n <= floor(len(t.b) * {spare!r}::DOUBLE + 1e-9) + 1),
 l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(range(0, len(lines)))::INTEGER AS line, unnest(lines) AS unit FROM l
       UNION ALL SELECT doc_id, -1, text FROM l WHERE len(lines) > 1),
-b AS (SELECT doc_id, line, {_sql_bigrams('w')} AS b FROM (SELECT doc_id, line, {_sql_words('unit')} AS w FROM u) x WHERE len(w) > 1)
+b AS (SELECT doc_id, line, {_sql_bigrams('w')} AS b FROM (SELECT doc_id, line, {_sql_words('unit')} AS w FROM u) x WHERE len(w) > 1),
+d AS MATERIALIZED (SELECT doc_id, w, row_number() OVER () AS r FROM (SELECT doc_id, {_sql_words('text')} AS w FROM l)),
+dp AS (SELECT r, i, w[i + 1] || ' ' || w[i + 2] AS pair FROM (SELECT r, w, unnest(range(0, len(w) - 1)) AS i FROM d)),
+s AS (SELECT DISTINCT dp.r, ta.license, ta.m, ta.b AS tb, dp.i - ta."offset" AS s FROM dp JOIN ta USING (pair)),
+x AS (SELECT d.doc_id, s.license, s.tb, greatest(s.s, 0)::INTEGER AS word, w[greatest(s.s, 0) + 1 : s.s + s.m] AS w FROM s JOIN d USING (r)),
+wb AS (SELECT doc_id, word, license, tb, {_sql_bigrams('w')} AS b FROM x)
 SELECT * FROM (
-  SELECT doc_id, line, license, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t WHERE len(b.b) > 0)
+  SELECT doc_id, line, NULL::INTEGER AS word, license, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t WHERE len(b.b) > 0
+  UNION ALL
+  SELECT doc_id, -2, word, license, 2.0::DOUBLE * len(list_intersect(wb.b, tb)) / (len(wb.b) + len(tb)) FROM wb)
 WHERE dice >= {DICE}
 """
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 from fractions import Fraction
 from pathlib import Path
@@ -83,19 +84,68 @@ def test_packing_plan(counts):
     assert max(biggest, -(-total // 1024)) <= plan.sequences <= max(biggest, -(-total // 1024)) + 2
 
 
-def test_licenses(spark):
+@pytest.fixture(scope="module")
+def notices(spark):
+    """Notices as lines, inside lines, wrapped, in comments, with other words, cut off, and beside odd rows."""
+    mit, mpl, gpl = (licenses.TEMPLATES[k] for k in ("MIT-text", "MPL-2.0", "GPL-3.0-or-later"))
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(mpl, 40))
+    changed = " ".join("other" if n % 25 == 7 else w for n, w in enumerate(gpl.split()))
     rows = [(1, "Released under the MIT License."), (2, "text\nLICENSED under the apache license, version 2.0\n\nmore"), (None, None), (3, ""), (3, "\n"),
-            (4, "Licensed under CC BY-NC 4.0. " * 3), (5, "released under MIT License"), (6, "one")]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+            (4, "Licensed under CC BY-NC 4.0. " * 3), (5, "released under MIT License"), (6, "one"), (7, prose(40) + "\n/*\n" + wrapped + "\n*/\n" + prose(40)),
+            (8, prose(30) + " " + licenses.TEMPLATES["MIT"] + " " + prose(30)), (9, prose(20) + "\n" + "\n".join(textwrap.wrap(changed, 60)) + prose(20)),
+            (10, prose(2000) + "\nCopyright 2020 A. Nobody\n" + "\n".join(textwrap.wrap(mit, 70)) + "\n" + prose(2000)), (11, mpl[25:]), (12, mpl[:-30]),
+            (13, "released under the " * 50 + "MIT License"), (1, "Released under the MIT License.")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_licenses(spark, notices):
     db = duckdb.connect()
-    documents = frame.toPandas()  # noqa: F841
+    documents = notices.toPandas()  # noqa: F841
     db.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text FROM documents")
-    got = licenses.scan(frame.withColumns({"size": F.lit(1), "license": F.lit("x")})).collect()
-    assert ordered((r.doc_id, r.line, r.license, round(r.dice, 9)) for r in got) == ordered(
-        (a, b, c, round(d, 9)) for a, b, c, d in db.execute(f"SELECT doc_id, line, license, dice FROM ({licenses.ORACLE})").fetchall()
+    clashing = {c: F.lit(7) for c in ("size", "license", "line", "word", "anchor", "pairs", "at", "near", "template", "length", "offset", "first")}
+    got = licenses.scan(notices.withColumns(clashing).repartition(3)).collect()
+    assert ordered((r.doc_id, r.line, r.word, r.license, round(r.dice, 9)) for r in got) == ordered(
+        (a, b, w, c, round(d, 9)) for a, b, w, c, d in db.execute(f"SELECT doc_id, line, word, license, dice FROM ({licenses.ORACLE})").fetchall()
     )
-    assert {(r.doc_id, r.license) for r in got} >= {(1, "MIT"), (2, "Apache-2.0")}
-    assert licenses.scan(frame.where("false")).count() == 0
+    found = {(r.doc_id, r.license) for r in got}
+    assert found >= {(1, "MIT"), (2, "Apache-2.0"), (7, "MPL-2.0"), (8, "MIT"), (9, "GPL-3.0-or-later"), (10, "MIT-text"), (10, "MIT-notice"), (11, "MPL-2.0"), (12, "MPL-2.0"), (13, "MIT")}
+    assert not any(r.doc_id in (3, 6, None) for r in got)
+    assert sum(r.doc_id == 1 for r in got) == 4  # two equal rows, each as a line and as a window
+    assert licenses.scan(notices.where("false")).count() == 0
+    assert licenses.scan(notices, {}).count() == 0 and licenses.scan(notices, {"x": "word"}).count() == 0
+
+
+def test_licenses_of_many_templates(spark, notices, monkeypatch):
+    want = ordered(licenses.scan(notices).collect())
+    monkeypatch.setattr(licenses, "MOST_LISTED", 0)
+    monkeypatch.setattr(licenses, "MOST_SENT", 0)
+    assert ordered(licenses.scan(notices).collect()) == want
+
+
+def test_licenses_miss_no_window(spark):
+    """Windows that reach the coefficient hold an anchor: all starts of a changed notice against the scan."""
+    names = ("MPL-2.0", "GPL-3.0-or-later", "ISC-text")
+    words = lambda text: [w for w in re.sub(r"[\W_]+", " ", text.lower()).split(" ") if w]
+    grams = lambda w: {(a, b) for a, b in zip(w, w[1:])}
+    texts = []
+    for name in names:
+        for rate in (0.02, 0.05, 0.08):
+            texts.append(" ".join("changed" if chance.random() < rate else w for w in words(licenses.TEMPLATES[name])))
+    texts = [prose(15).lower() + " " + t + " " + prose(15) for t in texts]
+    want = set()
+    for d, text in enumerate(texts):
+        w = words(text)
+        for name in names:
+            whole = words(licenses.TEMPLATES[name])
+            b = grams(whole)
+            for start in range(len(w) - len(whole) + 1):
+                part = grams(w[start : start + len(whole)])
+                aligned = any(w[start + k : start + k + 2] == whole[k : k + 2] for k in range(len(whole) - 1))
+                if aligned and 2 * len(part & b) / (len(part) + len(b)) >= licenses.DICE and w[start : start + 2] == whole[:2]:
+                    want.add((d, name, start))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), {n: licenses.TEMPLATES[n] for n in names})
+    assert len(want) >= 4
+    assert {(r.doc_id, r.license, r.word) for r in rows.where("line = -2").collect()} >= want
 
 
 def test_toxicity(spark):
