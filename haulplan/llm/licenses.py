@@ -122,11 +122,12 @@ def scan_windows(docs: DataFrame, rows: DataFrame, dice: float) -> DataFrame:
     anchors = template_anchors(rows, dice)
     known = anchors.agg(F.count("*").alias("rows"), F.max("length").alias("longest"), F.count_distinct("anchor").alias("distinct")).first()
     listed = [r["anchor"] for r in anchors.select("anchor").distinct().collect()] if known["distinct"] <= MOST_LISTED else None
+    openers = sorted({a.split(" ")[0] for a in listed or []})  # few places get as far as a pair
     reach = F.lit(known["longest"] or 0)
 
     def hits(w: Column) -> Column:
         places = F.when(F.size(w) < 2, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(0), F.size(w) - 2))
-        met = places if listed is None else F.filter(places, lambda i: pair_at(w, i).isin(listed))
+        met = places if listed is None else F.filter(places, lambda i: F.get(w, i).isin(openers) & pair_at(w, i).isin(listed))
         near = lambda i: F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach)
         return F.transform(met, lambda i: F.struct(i.alias("at"), pair_at(w, i).alias("anchor"), near(i).alias("near")))
 
