@@ -1,13 +1,16 @@
 import json
 import os
+import threading
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import inputs
 from haulplan import assign_shards, estimate, pending_work, plan, retry_plan, shard_status, shard_summary
 from haulplan.operators.attempts import attempt_summary, number_attempts
 from haulplan.operators.transfer_time import time_range, time_steps_for, time_table
+from haulplan.sources import listing
 from haulplan.streaming import jobs as live
 
 ATTEMPTS = [
@@ -183,3 +186,54 @@ def test_live_progress_reports_every_threshold(spark, tmp_path):
         live.append_parts(live.stream_parts(spark, str(parts)), str(parts), out, str(tmp_path / "state"), "s", "d", "r", every=10).awaitTermination()
     rows = live.read_progress(spark, f"{out}_progress").orderBy("checkpoint").collect()
     assert [(r.files_listed, r.bytes_listed) for r in rows] == [(n, sum(sizes[:n])) for n in (10, 20, 30, 40, 50, 57)]
+
+
+def test_live_batches_read_only_what_is_theirs(spark, tmp_path):
+    """Progress goes on from the batch before, and sidecars are looked for by the names of a batch's parts."""
+    parts, out = tmp_path / "parts", str(tmp_path / "manifest")
+    parts.mkdir()
+    for k, text in enumerate(['[{"Path": "a", "Size": 1}, {"Path": "b", "Size": 2}]', "[broken", '[{"Path": "c", "Size": 4}]', '[{"Path": "d", "Size": 8}]']):
+        name = f"lsjson-{k} 50%"
+        if k % 2 == 0:
+            (parts / f"{name}.prefix").write_text(f"set{k}\n")
+        (parts / f"{name}.json").write_text(text)
+        if k == 3:  # a batch long past is not needed, the empty one before the last is passed over
+            for file in Path(f"{out}_progress/batch=0").glob("*.parquet"):
+                file.write_text("gone")
+                (file.parent / f".{file.name}.crc").unlink()
+        live.append_parts(live.stream_parts(spark, str(parts)), str(parts), out, str(tmp_path / "state"), "s", "d", "r", every=2).awaitTermination()
+    rows = spark.read.parquet(f"{out}_progress/batch=2", f"{out}_progress/batch=3").orderBy("files_listed").collect()
+    assert [tuple(r) for r in rows] == [(1, 3, 7), (1, 4, 15)]
+    assert sorted(r.path for r in spark.read.parquet(out).collect()) == ["d", "set0/a", "set0/b", "set2/c"]
+    found = listing.read_prefixes(spark, str(parts), ["lsjson-2%2050%25.json", "lsjson-3%2050%25.json"])
+    assert [r.prefix for r in found.collect()] == ["set2"] and len(found.inputFiles()) == 1
+    assert listing.read_prefixes(spark, str(parts), []).isEmpty()
+
+
+def test_progress_of_a_batch_above_one_chunk(spark, tmp_path, monkeypatch):
+    rows = [(k // 3, f"p{k:02}", k) for k in range(40)]
+    records = spark.createDataFrame(rows, "seq bigint, path string, size bigint")
+    live.write_progress(records, str(tmp_path / "small"), 0, 7, len(rows))
+    monkeypatch.setattr(live, "CHUNK_SHIFT", 2)
+    live.write_progress(records, str(tmp_path / "large"), 0, 7, len(rows))
+    small, large = (sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / n / "batch=0")).collect()) for n in ("small", "large"))
+    assert small == large == [(n // 7, min(n + 7, 40), sum(range(min(n + 7, 40)))) for n in range(0, 40, 7)]
+
+
+def test_many_files_are_written_at_once(spark, tmp_path, monkeypatch):
+    """Two files at least are on their way together, and names and texts are not drawn far ahead."""
+    together, drawn, done = threading.Barrier(2), [], []
+    write = inputs.write_file
+
+    def slow(session, folder, name, text, changed_at=None):
+        together.wait(20)
+        assert len(drawn) - len(done) <= inputs.WAITING
+        write(session, folder, name, text, changed_at)
+        done.append(name)
+
+    monkeypatch.setattr(inputs, "write_file", slow)
+    monkeypatch.setattr(inputs, "WAITING", 4)
+    files = ((drawn.append(k) or f"f{k}", f"text {k}") for k in range(10))
+    inputs.write_files(spark, str(tmp_path / "files"), files, 10**12)
+    written = {p.name: (p.read_text(), p.stat().st_mtime) for p in (tmp_path / "files").glob("f*")}
+    assert written == {f"f{k}": (f"text {k}", 10**9) for k in range(10)}
