@@ -525,12 +525,9 @@ def x1_late_sidecars(spark, sf_dir):
         arriving = live.stream_parts_and_sidecars(spark, parts_dir, "5 minutes")
         live.append_parts(arriving, parts_dir, out, state, SOURCE, DEST, RUN_ID).awaitTermination()
 
-    for row in parts.toLocalIterator():  # one file for each 40 documents
-        inputs.write_file(spark, parts_dir, row.part, row.text, start)
+    inputs.write_files(spark, parts_dir, inputs.part_files(parts.drop("prefix")), start)
     run()
-    for row in parts.drop("text").toLocalIterator():
-        if row.prefix:
-            inputs.write_file(spark, parts_dir, row.part.replace(".json", ".prefix"), f" {row.prefix}\n", start + minute)
+    inputs.write_files(spark, parts_dir, inputs.part_files(parts.drop("text")), start + minute)
     run()
     inputs.write_file(spark, parts_dir, "lsjson-end.json", "[]", start + 20 * minute)
     run()
